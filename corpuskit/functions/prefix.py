@@ -58,28 +58,34 @@ def global_positions(
     bucket: Column,
     rank_col: str | None = "_rank",
     sums: dict[str, Column] | None = None,
+    partition_by: list[str] | None = None,
+    broadcast_offsets: bool = True,
 ) -> DataFrame:
     """Add a 0-based global rank in ``order`` and exclusive running sums.
 
     ``bucket`` must be monotone in ``order`` (rows of a lower bucket come first).
     ``sums`` maps output name -> numeric column; the output is the sum over all
-    rows strictly before this one.
+    rows strictly before this one.  With ``partition_by`` ranks restart per group
+    and a hot group is still spread over its buckets; the offsets table then has
+    (groups x buckets) rows and is broadcast only if ``broadcast_offsets``.
     """
     sums = sums or {}
+    pb = list(partition_by or [])
     d = df.withColumn("_bkt", bucket)
     for name, c in sums.items():
         d = d.withColumn("_sz_" + name, c)
     aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum("_sz_" + n).alias("_t_" + n) for n in sums]
-    per = d.groupBy("_bkt").agg(*aggs)
-    prev = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy(*pb, "_bkt").agg(*aggs)
+    prev = Window.partitionBy(*pb).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select(
+        *pb,
         "_bkt",
         F.coalesce(F.sum("_n").over(prev), F.lit(0)).alias("_o_n"),
         *[F.coalesce(F.sum("_t_" + n).over(prev), F.lit(0)).alias("_o_" + n) for n in sums],
     )
-    local = Window.partitionBy("_bkt").orderBy(*order)
+    local = Window.partitionBy(*pb, "_bkt").orderBy(*order)
     local_prev = local.rowsBetween(Window.unboundedPreceding, -1)
-    out = d.join(F.broadcast(offs), "_bkt")
+    out = d.join(F.broadcast(offs) if broadcast_offsets else offs, pb + ["_bkt"])
     if rank_col:
         out = out.withColumn(rank_col, (F.col("_o_n") + F.row_number().over(local) - 1).cast("bigint"))
     for n in sums:
