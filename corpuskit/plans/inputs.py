@@ -17,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.session import read_table
+from corpuskit.sources.tables import read_table
 
 NL = "\n"
 
 
 def table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
-    df = read_table(spark, d, name)
-    return df.select(*cols) if cols else df
+    """Pruned scan of a given table, spread to the default parallelism if it is one split."""
+    return read_table(spark, d, name, *cols)
 
 
 def articles_raw(spark: SparkSession, d: str) -> DataFrame:
