@@ -9,7 +9,7 @@ broadcast hash join only when its row count is below ``BROADCAST_VOCAB_ROWS``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import prefix
@@ -94,29 +94,33 @@ def attach_ids(tokens: DataFrame, vocab: DataFrame, word: str = "word", unk: int
 
 
 def encode_corpus(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text", split: bool = True,
-                  append_eod: bool = True) -> DataFrame:
+                  append_eod: bool = True, n_partitions: int | None = None) -> DataFrame:
     """Documents -> token table ``(key, sent_pos, n_tokens, tokens)``.
 
-    Empty sentences are dropped, documents without sentences disappear, EOD is
-    appended to the last sentence only.  Documents are hash-partitioned by key
-    once (shuffling text, the smallest form); explode, vocabulary join (broadcast)
-    and the regroup by (key, sentence) then need no further exchange.
+    Empty sentences are dropped (``sent_pos`` stays dense), documents without
+    sentences disappear, EOD is appended to the last sentence only.  Documents
+    are hash-partitioned by key once (shuffling text, the smallest form); the
+    sentence window, the word explode, the broadcast vocabulary join and the
+    regroup by (key, sentence) then add no exchange.  Sentences and words are
+    exploded one level at a time (exploding nested arrays is much slower).
     """
+    spark = docs.sparkSession
+    n = n_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     sents = sentences_of(text) if split else F.array(F.col(text))
-    per_doc = docs.repartition(key).select(
-        key, F.filter(F.transform(sents, lambda s: T.basic_tokens(s)), lambda ws: F.size(ws) > 0).alias("_s")
-    )
-    per_sent = per_doc.select(key, F.size("_s").alias("_ns"), F.posexplode("_s").alias("sent_pos", "_w"))
-    per_word = per_sent.select(key, "sent_pos", (F.col("sent_pos") == F.col("_ns") - 1).alias("_last"),
-                               F.posexplode("_w").alias("_wp", "word"))
+    s = docs.repartition(n, key).select(key, F.posexplode(sents).alias("_p", "_sent"))
+    s = s.select(key, "_p", T.basic_tokens("_sent").alias("_w")).filter(F.size("_w") > 0)
+    w = Window.partitionBy(key).orderBy("_p")
+    s = s.withColumn("sent_pos", (F.row_number().over(w) - 1).cast("int"))
+    s = s.withColumn("_last", F.col("sent_pos") == F.count(F.lit(1)).over(Window.partitionBy(key)) - 1)
+    per_word = s.select(key, "sent_pos", "_last", F.posexplode("_w").alias("_wp", "word"))
     with_ids = attach_ids(per_word, vocab)
     g = with_ids.groupBy(key, "sent_pos", "_last").agg(
         F.array_sort(F.collect_list(F.struct(F.col("_wp").alias("p"), F.col("id").alias("i")))).alias("_t")
     )
-    toks = F.transform("_t", lambda s: s["i"])
+    toks = F.transform("_t", lambda x: x["i"])
     if append_eod:
         toks = F.when(F.col("_last"), F.concat(toks, F.array(F.lit(S.EOD)))).otherwise(toks)
-    out = g.select(key, F.col("sent_pos").cast("int"), toks.alias("tokens"))
+    out = g.select(key, "sent_pos", toks.alias("tokens"))
     return out.select(key, "sent_pos", F.size("tokens").cast("int").alias("n_tokens"), "tokens")
 
 
