@@ -83,14 +83,22 @@ def _regroup(long: DataFrame, keys: list[str], value: Column, keep: Column, out:
 
 def spans_to_sentinels(long: DataFrame, keys: list[str]) -> DataFrame:
     """F17 [spec]: inputs: each noise run -> one unique sentinel; targets: each non-noise run
-    -> one sentinel, noise kept (the inverted mask)."""
-    a = mark_spans(long, keys, "noise")
-    inputs = _regroup(a, keys, F.when(F.col("noise"), F.lit(S.SENTINEL_TOP) - F.col("span")).otherwise(F.col("token")),
-                      ~F.col("noise") | F.col("start"), "inputs")
-    b = mark_spans(long.withColumn("keep", ~F.col("noise")), keys, "keep")
-    targets = _regroup(b, keys, F.when(F.col("keep"), F.lit(S.SENTINEL_TOP) - F.col("span")).otherwise(F.col("token")),
-                       ~F.col("keep") | F.col("start"), "targets")
-    return inputs.join(targets, keys)
+    -> one sentinel, noise kept (the inverted mask).  One window pass and one regroup
+    produce both sides."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    prev = F.lag("noise").over(w)
+    d = long.withColumn("_st", F.col("noise") & ~F.coalesce(prev, F.lit(False))) \
+        .withColumn("_st2", ~F.col("noise") & F.coalesce(prev, F.lit(True)))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_sp", F.sum(F.col("_st").cast("int")).over(run) - 1) \
+        .withColumn("_sp2", F.sum(F.col("_st2").cast("int")).over(run) - 1)
+    top = F.lit(S.SENTINEL_TOP)
+    vin = F.when(F.col("noise"), top - F.col("_sp")).otherwise(F.col("token"))
+    vout = F.when(~F.col("noise"), top - F.col("_sp2")).otherwise(F.col("token"))
+    item_in = F.when(~F.col("noise") | F.col("_st"), F.struct(F.col("pos").alias("p"), vin.alias("v")))
+    item_out = F.when(F.col("noise") | F.col("_st2"), F.struct(F.col("pos").alias("p"), vout.alias("v")))
+    g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(item_in)).alias("_i"), F.array_sort(F.collect_list(item_out)).alias("_o"))
+    return g.select(*keys, F.transform("_i", lambda x: x["v"]).alias("inputs"), F.transform("_o", lambda x: x["v"]).alias("targets"))
 
 
 def tokens_to_sentinel(long: DataFrame, keys: list[str]) -> DataFrame:

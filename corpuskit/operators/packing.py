@@ -75,12 +75,19 @@ def pack_samples(ordered: DataFrame, ord_col: str, tokens: str, seq_len: int, n_
     n = F.floor((F.col("_T") - 1) / S_)
     lo = F.greatest(F.ceil((a - S_) / S_), F.lit(0))
     hi = F.least(F.floor(b / S_), n - 1)
-    e = r.select(ord_col, tokens, "start", "_sz",
-                 F.explode(F.when(hi >= lo, F.sequence(lo.cast("bigint"), hi.cast("bigint"))).otherwise(F.array())).alias("sample_id"))
-    i0 = F.greatest(F.col("sample_id") * S_, F.col("start"))
-    i1 = F.least(F.col("sample_id") * S_ + S_, F.col("start") + F.col("_sz") - 1)
-    frag = F.slice(tokens, (i0 - F.col("start") + 1).cast("int"), (i1 - i0 + 1).cast("int"))
-    f = e.select("sample_id", F.struct(F.col(ord_col).alias("o"), frag.alias("t")).alias("_f"))
+    # fragments are sliced inside one expression, so each exploded row carries only
+    # its own slice (never a copy of the whole document per fragment)
+    st, sz = F.col("start"), F.col("_sz")
+
+    def frag(i):
+        i0 = F.greatest(i * S_, st)
+        i1 = F.least(i * S_ + S_, st + sz - 1)
+        return F.struct(i.alias("sample_id"), F.col(ord_col).alias("o"),
+                        F.slice(tokens, (i0 - st + 1).cast("int"), (i1 - i0 + 1).cast("int")).alias("t"))
+
+    rng = F.when(hi >= lo, F.sequence(lo.cast("bigint"), hi.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    e = r.select(F.explode(F.transform(rng, frag)).alias("_e"))
+    f = e.select(F.col("_e.sample_id").alias("sample_id"), F.struct(F.col("_e.o").alias("o"), F.col("_e.t").alias("t")).alias("_f"))
     g = f.groupBy("sample_id").agg(F.array_sort(F.collect_list("_f")).alias("_x"))
     return g.select("sample_id", F.flatten(F.transform("_x", lambda s: s["t"])).alias("tokens"))
 

@@ -32,7 +32,7 @@ def ordered_streams(spark, d):
     tok = token_table(spark, d)
     streams = E.doc_streams(tok)
     order = D.epoch_doc_order(table(spark, d, "documents", "doc_id"), "doc_id", 1, SEED)
-    return order.join(streams, "doc_id").select("doc_ord", "tokens")
+    return order.join(streams, "doc_id").select("doc_ord", "tokens").checkpoint()
 
 
 @query("pack_boundaries", ORDERED_SQL + f"""

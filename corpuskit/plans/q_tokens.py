@@ -30,8 +30,10 @@ def vocab(spark, d):
 
 
 def token_table(spark, d):
+    """The encoded corpus, checkpointed: queries built on it branch (totals, prefix
+    offsets, joins), and without a cut each branch would re-run vocabulary and encoding."""
     docs = table(spark, d, "documents", "doc_id", "text")
-    return K.encode_corpus(docs, vocab(spark, d))
+    return K.encode_corpus(docs, vocab(spark, d)).checkpoint()
 
 
 DOC_TOK = "WITH " + Q.VOCAB_CTE + "," + encode_cte("documents")
