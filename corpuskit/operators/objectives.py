@@ -57,8 +57,8 @@ def noise_random_spans(df: DataFrame, keys: list[str], density: float, mean_span
     """
     key = F.concat_ws(":", *keys)
     n = F.size(tokens)
-    d = df.withColumn("_n", n).withColumn("_nn", F.least(F.greatest(F.round(F.col("_n") * density), F.lit(1)), F.col("_n") - 1).cast("int"))
-    d = d.withColumn("_ns", F.least(F.greatest(F.round(F.col("_nn") / mean_span), F.lit(1)).cast("int"),
+    d = df.withColumn("_n", n).withColumn("_nn", F.least(F.greatest(F.bround(F.col("_n") * density, 0), F.lit(1)), F.col("_n") - 1).cast("int"))
+    d = d.withColumn("_ns", F.least(F.greatest(F.bround(F.col("_nn") / mean_span, 0), F.lit(1)).cast("int"),
                                     F.least(F.col("_nn"), F.col("_n") - F.col("_nn"))))
     d = d.withColumn("_k", _segment(F.col("_n") - F.col("_nn"), F.col("_ns"), seed, key, "keep"))
     d = d.withColumn("_z", _segment(F.col("_nn"), F.col("_ns"), seed, key, "noise"))
