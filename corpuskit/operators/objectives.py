@@ -236,3 +236,54 @@ def t5_batch_columns(df: DataFrame, inputs: str, targets: str, input_len: int, t
     return d.withColumn("labels", F.zip_with("labels_raw", "decoder_attention_mask", lambda x, m: x - 100 * (1 - m))).drop("labels_raw")
 
 
+
+
+# --- retrieval samples (F23-F25) ---------------------------------------------
+
+def concat_and_pad(tokens: Column, max_len: int, title: Column | None = None):
+    """``[CLS] (title [SEP]) tokens [SEP]`` padded to ``max_len``; returns (tokens, pad_mask)."""
+    cls, sep = F.array(F.lit(S.CLS)), F.array(F.lit(S.SEP))
+    t = F.concat(cls, tokens, sep) if title is None else F.concat(cls, title, sep, tokens, sep)
+    padn = F.greatest(F.lit(max_len) - F.size(t), F.lit(0))
+    return (F.concat(t, F.array_repeat(F.lit(S.PAD), padn)),
+            F.concat(F.array_repeat(F.lit(1), F.size(t)), F.array_repeat(F.lit(0), padn)))
+
+
+def ict_pairs(blocks: DataFrame, key: Column, seed: int, max_len: int, query_in_block_prob: float,
+              sents: str = "sents", title: str | None = "title") -> DataFrame:
+    """a random sentence of the block is the pseudo-query; it stays in the block with
+    probability ``query_in_block_prob``, else it is removed.  Query cut to S-2, block to
+    S-(3+len(title)) (or S-2 without titles); both wrapped and padded."""
+    n = F.size(sents)
+    idx = H.u(seed, key, F.lit("q")) % n
+    keep = H.u(seed, key, F.lit("keep")) < F.lit(query_in_block_prob * H.TWO32)
+    query = F.slice(F.element_at(sents, (idx + 1).cast("int")), 1, max_len - 2)
+    rest = F.when(keep, F.col(sents)).otherwise(F.filter(sents, lambda s, i: i != idx))
+    off = (F.size(title) + 3) if title else F.lit(2)
+    block = F.slice(F.flatten(rest), F.lit(1), F.lit(max_len) - off)
+    qt, qm = concat_and_pad(query, max_len)
+    ct, cm = concat_and_pad(block, max_len, F.col(title) if title else None)
+    return blocks.select("*", qt.alias("query_tokens"), qm.alias("query_pad_mask"), ct.alias("context_tokens"), cm.alias("context_pad_mask"))
+
+
+def titled_block_tokens(blocks: DataFrame, max_len: int, tokens: str = "block", title: str = "title") -> DataFrame:
+    """``[CLS] title [SEP] block [SEP]`` with the block cut to S-(3+len(title)), padded."""
+    block = F.slice(tokens, F.lit(1), F.lit(max_len) - (F.size(title) + 3))
+    t, m = concat_and_pad(block, max_len, F.col(title))
+    return blocks.select("*", t.alias("block_tokens"), m.alias("block_pad_mask"))
+
+
+def null_block(spark, max_len: int) -> DataFrame:
+    """the empty block (``[CLS] [SEP] [SEP]`` padded)."""
+    e = F.array().cast("array<int>")
+    t, m = concat_and_pad(e, max_len, e)
+    return spark.range(1).select(t.alias("block_tokens"), m.alias("block_pad_mask"))
+
+
+def evidence_tokens(df: DataFrame, max_len: int, text: str = "text_tokens", title: str = "title") -> DataFrame:
+    """``([CLS] title [SEP] text)`` cut to S-1, then ``[SEP]``; padded, with a pad mask."""
+    t = F.concat(F.slice(F.concat(F.array(F.lit(S.CLS)), F.col(title), F.array(F.lit(S.SEP)), F.col(text)), 1, max_len - 1),
+                 F.array(F.lit(S.SEP)))
+    padn = F.greatest(F.lit(max_len) - F.size(t), F.lit(0))
+    return df.select("*", F.concat(t, F.array_repeat(F.lit(S.PAD), padn)).alias("evidence_tokens"),
+                     F.concat(F.array_repeat(F.lit(1), F.size(t)), F.array_repeat(F.lit(0), padn)).alias("evidence_pad_mask"))
