@@ -26,3 +26,37 @@ def _lcs(x, y) -> int:
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence length of two word arrays, one pair per row."""
     return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+def wordpiece_fn(vocab_bc, unk: str = "[UNK]", max_chars: int = 200):
+    """Greedy longest-match-first word pieces (``##`` continuation); the whole word becomes
+    ``unk`` if any piece fails or it is longer than ``max_chars``.  ``vocab_bc`` is a
+    broadcast set of pieces (bounded vocabulary)."""
+    from pyspark.sql.types import ArrayType, StringType
+
+    def encode(word):
+        if word is None:
+            return None
+        if len(word) > max_chars:
+            return [unk]
+        vocab = vocab_bc.value
+        out, start = [], 0
+        while start < len(word):
+            end, cur = len(word), None
+            while start < end:
+                piece = word[start:end] if start == 0 else "##" + word[start:end]
+                if piece in vocab:
+                    cur = piece
+                    break
+                end -= 1
+            if cur is None:
+                return [unk]
+            out.append(cur)
+            start = end
+        return out
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def wordpiece(words: pd.Series) -> pd.Series:
+        return words.apply(encode)
+
+    return wordpiece

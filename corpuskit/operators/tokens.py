@@ -211,3 +211,30 @@ def doc_index(tok: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents with sentence counts (the reference's ``doc_idx``)."""
     return tok.groupBy(key).agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n_tokens").cast("bigint").alias("n_tokens"))
 
+
+
+MAX_WORDPIECE_VOCAB = 1_000_000
+
+
+def wordpiece_vocab(counts: DataFrame, size: int = 30000) -> DataFrame:
+    """Piece vocabulary ``(piece)``: every character (alone and as ``##c``) plus the ``size``
+    most frequent words (a top-k by count, ties by word)."""
+    chars = counts.select(F.explode(F.split("word", "")).alias("c")).filter(F.col("c") != "").distinct()
+    pieces = chars.select(F.col("c").alias("piece")).unionByName(chars.select(F.concat(F.lit("##"), "c").alias("piece")))
+    top = counts.orderBy(F.col("n").desc(), F.col("word")).limit(size).select(F.col("word").alias("piece"))
+    return pieces.unionByName(top).distinct()
+
+
+def wordpiece_encode(words: DataFrame, pieces: DataFrame, word: str = "word") -> DataFrame:
+    """Every *distinct* word encoded once (Arrow UDF, greedy longest match against a
+    broadcast piece set whose size is checked), joined back to the word rows."""
+    from corpuskit.functions.arrow_udfs import wordpiece_fn
+
+    spark = words.sparkSession
+    n = pieces.count()
+    if n > MAX_WORDPIECE_VOCAB:
+        raise ValueError(f"piece vocabulary of {n} entries is too large to broadcast")
+    vocab = spark.sparkContext.broadcast({r[0] for r in pieces.select("piece").toLocalIterator()})
+    distinct = words.select(word).distinct()
+    enc = distinct.select(word, wordpiece_fn(vocab)(F.col(word)).alias("pieces"))
+    return words.join(enc, word, "left")

@@ -105,3 +105,18 @@ def test_t5_sentence_samples_rebuild(spark):
             rebuilt.extend(spans[t] if t in spans else [t])
         assert rebuilt == r["tokens"][:64]
         assert r["decoder_input"][0] == S.BOS and r["decoder_output"][-1] == S.EOD
+
+
+def test_wordpiece_round_trip(spark):
+    from corpuskit.operators import tokens as K
+
+    words = spark.createDataFrame([("unaffable",), ("running",), ("run",), ("zzz",), ("x" * 300,)], "word string")
+    counts = spark.createDataFrame([("run", 5), ("un", 4), ("aff", 3)], "word string, n long")
+    pieces = K.wordpiece_vocab(counts.unionByName(words.selectExpr("word", "1L AS n")).filter("length(word) < 50"), 3)
+    got = {r["word"]: r["pieces"] for r in K.wordpiece_encode(words, pieces).collect()}
+    assert got["run"] == ["run"]
+    assert got["running"][0] == "run" and all(p.startswith("##") for p in got["running"][1:])
+    assert got["x" * 300] == ["[UNK]"]
+    for w, p in got.items():
+        if p != ["[UNK]"]:
+            assert p[0] + "".join(x[2:] for x in p[1:]) == w
