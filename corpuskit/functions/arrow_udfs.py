@@ -60,3 +60,62 @@ def wordpiece_fn(vocab_bc, unk: str = "[UNK]", max_chars: int = 200):
         return words.apply(encode)
 
     return wordpiece
+
+
+def _bytes_to_unicode():
+    """Byte -> printable character map of byte-level BPE, built by rule: printable
+    Latin-1 bytes map to themselves, the other 68 bytes to code points from 256 up."""
+    keep = list(range(ord("!"), ord("~") + 1)) + list(range(0xA1, 0xAC + 1)) + list(range(0xAE, 0xFF + 1))
+    out, extra = {}, 0
+    for b in range(256):
+        if b in keep:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(256 + extra)
+            extra += 1
+    return out
+
+
+_BYTE_MAP = _bytes_to_unicode()
+
+
+@F.pandas_udf("string")
+def byte_map(pieces: pd.Series) -> pd.Series:
+    """UTF-8 bytes of each piece as byte-level BPE characters."""
+    return pieces.apply(lambda s: None if s is None else "".join(_BYTE_MAP[b] for b in s.encode("utf-8")))
+
+
+def bpe_apply_fn(ranks_bc):
+    """Apply merges lowest rank first until none applies (per distinct piece)."""
+    from pyspark.sql.types import ArrayType, StringType
+
+    def encode(word):
+        if word is None:
+            return None
+        ranks = ranks_bc.value
+        syms = list(word)
+        while len(syms) > 1:
+            best, bi = None, -1
+            for i in range(len(syms) - 1):
+                r = ranks.get((syms[i], syms[i + 1]))
+                if r is not None and (best is None or r < best):
+                    best, bi = r, i
+            if best is None:
+                break
+            a, b = syms[bi], syms[bi + 1]
+            merged, i = [], 0
+            while i < len(syms):
+                if i < len(syms) - 1 and syms[i] == a and syms[i + 1] == b:
+                    merged.append(a + b)
+                    i += 2
+                else:
+                    merged.append(syms[i])
+                    i += 1
+            syms = merged
+        return syms
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def bpe(words: pd.Series) -> pd.Series:
+        return words.apply(encode)
+
+    return bpe

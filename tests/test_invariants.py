@@ -120,3 +120,25 @@ def test_wordpiece_round_trip(spark):
     for w, p in got.items():
         if p != ["[UNK]"]:
             assert p[0] + "".join(x[2:] for x in p[1:]) == w
+
+
+def test_bpe_round_trip(spark):
+    from corpuskit.functions.arrow_udfs import _BYTE_MAP
+    from corpuskit.operators import subword as W
+
+    docs = spark.createDataFrame([(0, "the cat sat on the mat"), (1, "the hat, the cat! 42 cats"), (2, "ünïcode text")],
+                                 "doc_id long, text string")
+    counts = W.piece_counts(docs)
+    merges = W.train_bpe(counts, 6, 3)
+    assert merges.count() == 6
+    vocab = W.bpe_vocab(counts, merges, (), multiple=8)
+    rows = vocab.collect()
+    assert len(rows) % 8 == 0
+    ids = {r["token"]: r["id"] for r in rows}
+    assert ids["<pad>"] == 0 and ids["</s>"] == 1 and ids["<unk>"] == 2
+    inv = {v: k for k, v in ids.items()}
+    for r in W.bpe_encode(docs, merges, vocab).collect():
+        text = [t for t in docs.collect() if t["doc_id"] == r["doc_id"]][0]["text"]
+        expect = "".join(_BYTE_MAP[b] for b in text.encode("utf-8"))
+        assert 0 not in r["ids"]
+        assert "".join(inv[i] for i in r["ids"]) == expect
