@@ -6,7 +6,7 @@ real types.
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StringType
 
 
 def _lcs(x, y) -> int:
@@ -79,7 +79,7 @@ def _bytes_to_unicode():
 _BYTE_MAP = _bytes_to_unicode()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def byte_map(pieces: pd.Series) -> pd.Series:
     """UTF-8 bytes of each piece as byte-level BPE characters."""
     return pieces.apply(lambda s: None if s is None else "".join(_BYTE_MAP[b] for b in s.encode("utf-8")))
