@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from corpuskit.functions import text as T
 
@@ -33,10 +34,27 @@ def article_filters(df: DataFrame) -> DataFrame:
 def clean_articles(df: DataFrame, text: str = "text") -> DataFrame:
     """B1 -> B2 -> B3 -> drop list articles (B4) -> drop disambiguation pages.
 
-    One projection and one filter: no shuffle, runs inside whole-stage codegen.
+    One projection, no shuffle.  Rows are dropped by exploding an empty array
+    instead of a ``filter``: Catalyst would push a filter below the projection
+    (and below any repartition) by substituting the cleaning expressions, so the
+    cleaning would run twice and, for single-split inputs, in the scan task.
     """
     c = clean_article_columns(df, text)
-    return c.filter(~T.is_list_title("title") & ~T.is_disambiguation("title", text))
+    return keep_rows(c, ~T.is_list_title("title") & ~T.is_disambiguation("title", text))
+
+
+def keep_rows(df: DataFrame, cond) -> DataFrame:
+    """Filter whose condition is evaluated on already-projected columns (not pushed down)."""
+    cols = df.columns
+    row = F.struct(*[F.col(c) for c in cols])
+    kept = df.select(F.explode(F.when(cond, F.array(row)).otherwise(F.array().cast(ArrayType(row_type(df))))).alias("_r"))
+    return kept.select(*[F.col("_r." + c).alias(c) for c in cols])
+
+
+def row_type(df: DataFrame):
+    from pyspark.sql.types import StructType
+
+    return StructType(list(df.schema.fields))
 
 
 def clean_report(df: DataFrame, text: str = "text") -> DataFrame:
