@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions import prefix
 from corpuskit.functions import specials as S
 from corpuskit.functions import text as T
+from corpuskit.operators.cleaning import keep_rows
 
 SENT_MARK = "\u001f"
 SENT_BREAK = r"([.!?])[ \t\n\r]+"
@@ -108,7 +109,9 @@ def encode_corpus(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text:
     n = n_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     sents = sentences_of(text) if split else F.array(F.col(text))
     s = docs.repartition(n, key).select(key, F.posexplode(sents).alias("_p", "_sent"))
-    s = s.select(key, "_p", T.basic_tokens("_sent").alias("_w")).filter(F.size("_w") > 0)
+    s = s.select(key, "_p", T.basic_tokens("_sent").alias("_w"))
+    # dropped after the projection: a pushed-down filter would tokenize every sentence twice
+    s = keep_rows(s, F.size("_w") > 0)
     w = Window.partitionBy(key).orderBy("_p")
     s = s.withColumn("sent_pos", (F.row_number().over(w) - 1).cast("int"))
     s = s.withColumn("_last", F.col("sent_pos") == F.count(F.lit(1)).over(Window.partitionBy(key)) - 1)
