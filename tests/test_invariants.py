@@ -142,3 +142,23 @@ def test_bpe_round_trip(spark):
         expect = "".join(_BYTE_MAP[b] for b in text.encode("utf-8"))
         assert 0 not in r["ids"]
         assert "".join(inv[i] for i in r["ids"]) == expect
+
+
+def test_encode_independent_of_partitioning(spark):
+    from corpuskit.operators import tokens as K
+
+    texts = ["The cat sat. A dog ran!  Then?", "Één twee. Drie vier vijf.", "no break here", "x. y. z.", "   "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 4)], "doc_id long, text string")
+    vocab = K.build_word_vocab(docs, n_buckets=4)
+    outs = []
+    for n in (1, 3, 7):
+        t = K.encode_corpus(docs.repartition(n), vocab, n_partitions=n + 1)
+        outs.append(sorted((r["doc_id"], r["sent_pos"], tuple(r["tokens"])) for r in t.collect()))
+    assert outs[0] == outs[1] == outs[2]
+    # empty documents vanish, EOD only on each document's last sentence
+    assert all(d % 5 != 4 for d, _, _ in outs[0])
+    last = {}
+    for d, s, toks in outs[0]:
+        last[d] = max(last.get(d, -1), s)
+    for d, s, toks in outs[0]:
+        assert (toks[-1] == 1) == (s == last[d])
