@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuskit.llm import decontam, embed_dedup, line_dedup, lm, packing, quality, toxicity, warc
+from corpuskit.llm import decontam, embed_dedup, jaccard, line_dedup, lm, packing, quality, suffix_dedup, toxicity, warc
 from corpuskit.llm.common import table
 
 QUERIES: dict = {}
@@ -67,3 +67,14 @@ def op2_itq_embedding_dedup(spark, sf_dir):
 @query
 def op3_backoff_automaton(spark, sf_dir):
     return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_universe_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op7_prefix_doubling_dedup(spark, sf_dir):
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
