@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,15 @@ PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids bin
 PRE_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class UnitEncoder:
-    """Ids of texts as little-endian unsigned 32-bit values, through remembered units."""
+class UnitEncoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit values, through remembered units.
+
+    Maps what follows a cut's space to the ids of the space and it; a missing
+    entry is encoded on first use, and all are forgotten at ``most_units``.
+    """
 
     def __init__(self, path: str, most_units: int):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -45,37 +51,32 @@ class UnitEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pre_split = regex.compile(PRE_SPLIT).findall
         self.uneven = re.compile(r" (?:\s|$)").search
-        self.cut = re.compile(r"(?= \S)").split
+        self.cut = re.compile(r" (?=\S)").split
         self.bytes_to_chars = str.maketrans({chr(b): c for b, c in _printable_bytes().items()})
-        self.most_units, self.units, self.words = most_units, {}, {}
+        self.most_units, self.words = most_units, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= self.most_units:
+            self.clear()
+            self.words.clear()
+        ids = self[unit] = self.direct(" " + unit)
+        return ids
+
+    def direct(self, text: str) -> bytes:
+        return b"".join(map(self._word, self.pre_split(text)))
 
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             mapped = word.encode().decode("latin-1").translate(self.bytes_to_chars)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype="<u4").tobytes()
-            self.words[word] = ids
+            ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
         return ids
 
     def encode(self, text: str) -> bytes:
         if any(a in text for a in self.added):  # an added token may stand inside a unit
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if not text:
-            return b""
-        if self.uneven(text):
-            parts = [u for u in self.cut(text) if u]
-        else:
-            first, *rest = text.split(" ")
-            parts = [first] * bool(first) + [" " + u for u in rest]
-        known = self.units
-        for u in parts:
-            if u not in known:
-                if len(known) >= self.most_units:
-                    known.clear()
-                    self.words.clear()
-                    return self.encode(text) if len(parts) < self.most_units else b"".join(self._word(w) for p in parts for w in self.pre_split(p))
-                known[u] = b"".join(map(self._word, self.pre_split(u)))
-        return b"".join([known[u] for u in parts])
+        first, *units = self.cut(text) if self.uneven(text) else text.split(" ")
+        return self.direct(first) + b"".join(map(self.__getitem__, units))
 
 
 def _printable_bytes() -> dict[int, str]:
