@@ -11,9 +11,9 @@ phrases is ranked by its first and last ``2^k <= t`` phrases.
 
 A start position belongs to the first anchor that its string holds for sure.  If
 the phrases around all strings of an anchor repeat as a whole, all its positions
-repeat.  If the phrases that all its strings hold do not repeat, none does.  What
-lies between (the ends of repeats) is decided by the hash of each string, against
-those of all anchors with the same phrase.
+repeat.  If the phrases that all its strings hold do not repeat, or the bytes that they all hold,
+none does.  What lies between (the ends of repeats) is decided by the hash of each
+string, against those of all anchors whose strings hold the same bytes.
 
 Strings are compared by 64-bit hashes.  Texts that occur in several rows are
 removed as a whole if they are long enough, and enter the search once.  Defined
@@ -131,11 +131,12 @@ def _batches(texts: list[bytes], most: int = 4 << 20):
 
 
 def phrase_rows(texts: list[bytes], shape: Shape) -> tuple[np.ndarray, ...]:
-    """``(text, j << 32 | x, meta, rank)`` of the phrases of texts of at least ``length`` bytes.
+    """``(text, j << 32 | x, meta, rank, core)`` of the phrases of texts of at least ``length`` bytes.
 
     ``meta`` packs, relative to the anchor ``x``: its first and last start position,
     the phrases that all its strings hold, and the stretch around all its strings
     (phrases before the anchor, and in all; 0 if the text has no such stretch).
+    ``core`` is the hash of the bytes that all strings of the anchor hold.
     """
     starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -158,8 +159,12 @@ def phrase_rows(texts: list[bytes], shape: Shape) -> tuple[np.ndarray, ...]:
     for value, use in ((own - lo, some), (own - hi, some), (held, some), (i - left, around), (right - left, around)):
         meta = meta << _FIELD | np.where(use, value, 0)
     k = np.flatnonzero(has_next)
-    rank = Hashes(data).of(x[k], x[k + 1])
-    return doc[k], ((i - first[doc]) << 32 | own)[k], meta[k], rank.astype(np.int64)
+    hashes = Hashes(data)
+    rank = hashes.of(x[k], x[k + 1])
+    core = np.zeros(len(x), np.uint64)
+    at = np.flatnonzero(some)  # all strings of an anchor hold the bytes from its last start to the end of its first string
+    core[at] = hashes.of(x[at] - shape.before, x[at] - shape.before - shape.window + 1 + shape.length)
+    return doc[k], ((i - first[doc]) << 32 | own)[k], meta[k], rank.astype(np.int64), core[k].astype(np.int64)
 
 
 def _repeated(rows: DataFrame, key: str, instance: list[str]) -> DataFrame:
@@ -193,11 +198,11 @@ def _repeated(rows: DataFrame, key: str, instance: list[str]) -> DataFrame:
 
 
 def _settle(ranks: DataFrame, shape: Shape) -> DataFrame:
-    """``(k, lo, hi, phrase, around)`` of anchors whose sure phrases repeat, from all ranks of their text."""
+    """``(k, lo, hi, core, around)`` of anchors whose sure phrases repeat, from all ranks of their text."""
     mask = (1 << _FIELD) - 1
 
     def decide(t: pa.Table) -> pa.RecordBatch:
-        k, h, jx, meta, r = (t.column(c).to_numpy() for c in ("k", "h", "jx", "meta", "r"))
+        k, h, jx, meta, r, core = (t.column(c).to_numpy() for c in ("k", "h", "jx", "meta", "r", "core"))
         text = np.unique(k, return_inverse=True)[1]
         log = np.round(np.log2(h)).astype(np.int64)
         name = lambda text, log, j: (text << 6 | log) << 32 | j  # noqa: E731  texts of a batch, so 26 bits do
@@ -211,7 +216,7 @@ def _settle(ranks: DataFrame, shape: Shape) -> DataFrame:
             return names[at] == want, ranks_[at]
 
         base = np.flatnonzero(log == 0)
-        text, j, x, m, r1, k = text[base], jx[base] >> 32, jx[base] & 0xFFFFFFFF, meta[base], r[base], k[base]
+        text, j, x, m, core, k = text[base], jx[base] >> 32, jx[base] & 0xFFFFFFFF, meta[base], core[base], k[base]
         all_, before, held, last, lead = ((m >> (_FIELD * f)) & mask for f in range(5))
         use = held > 0
         power = np.floor(np.log2(np.maximum(held, 1))).astype(np.int64)
@@ -222,8 +227,8 @@ def _settle(ranks: DataFrame, shape: Shape) -> DataFrame:
         around = use & (all_ > 0) & has_a & has_b
         with np.errstate(over="ignore"):
             key = _mixed(_mixed(a.astype(np.uint64) + all_.astype(np.uint64)) ^ (b.astype(np.uint64) * _ODD)).astype(np.int64)
-        out = [k, x - lead, x - last, r1]
-        return pa.RecordBatch.from_arrays([pa.array(c[use].astype(np.int64)) for c in out] + [pa.array(key[use], mask=~around[use])], ["k", "lo", "hi", "phrase", "around"])
+        out = [k, x - lead, x - last, core]
+        return pa.RecordBatch.from_arrays([pa.array(c[use].astype(np.int64)) for c in out] + [pa.array(key[use], mask=~around[use])], ["k", "lo", "hi", "core", "around"])
 
     def stream(batches):
         left = None
@@ -240,14 +245,14 @@ def _settle(ranks: DataFrame, shape: Shape) -> DataFrame:
         if left is not None and left.num_rows:
             yield decide(left)
 
-    return ranks.repartition("k").sortWithinPartitions("k").mapInArrow(stream, "k bigint, lo bigint, hi bigint, phrase bigint, around bigint")
+    return ranks.repartition("k").sortWithinPartitions("k").mapInArrow(stream, "k bigint, lo bigint, hi bigint, core bigint, around bigint")
 
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     """``(k, start, end)`` of repeated stretches of ``texts(k, data binary)``; equal texts share ``k`` and enter once."""
     shape = Shape.of(length)
     long_ = texts.filter(F.octet_length("data") >= length)
-    schema = pa.schema([("k", pa.int64()), ("jx", pa.int64()), ("meta", pa.int64()), ("r", pa.int64())])
+    schema = pa.schema([("k", pa.int64()), ("jx", pa.int64()), ("meta", pa.int64()), ("r", pa.int64()), ("core", pa.int64())])
 
     def cut(batches):
         seen: set[int] = set()
@@ -256,26 +261,26 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
             fresh = [i for i, k in enumerate(keys.tolist()) if not (k in seen or seen.add(k))]
             own = [data[i].as_py() for i in fresh]
             for part in _batches(own):
-                doc, jx, meta, r = phrase_rows([own[i] for i in part], shape)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[[fresh[i] for i in part]][doc], jx, meta, r)], schema=schema)
+                doc, jx, meta, r, core = phrase_rows([own[i] for i in part], shape)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[[fresh[i] for i in part]][doc], jx, meta, r, core)], schema=schema)
 
-    level = written(_repeated(long_.mapInArrow(cut, "k bigint, jx bigint, meta bigint, r bigint"), "r", ["k", "jx"]), "rank-1")
+    level = written(_repeated(long_.mapInArrow(cut, "k bigint, jx bigint, meta bigint, r bigint, core bigint"), "r", ["k", "jx"]), "rank-1")
     most = level.agg(F.max(F.col("meta").bitwiseAND((1 << _FIELD) - 1))).first()[0] or 0
     ranks, h = level.withColumn("h", F.lit(1)), 1
     while 2 * h <= most:
         # the rank of 2h phrases is the pair of ranks at offset h
         ahead = level.select(F.col("k").alias("k2"), (F.shiftright("jx", 32) - h).alias("j2"), F.col("r").alias("r2"))
-        pair = level.join(ahead, (F.col("k") == F.col("k2")) & (F.shiftright("jx", 32) == F.col("j2"))).select("k", "jx", F.lit(0).cast("bigint").alias("meta"), F.xxhash64("r", "r2").alias("r"))
+        pair = level.join(ahead, (F.col("k") == F.col("k2")) & (F.shiftright("jx", 32) == F.col("j2"))).select("k", "jx", F.lit(0).cast("bigint").alias("meta"), F.xxhash64("r", "r2").alias("r"), F.lit(0).cast("bigint").alias("core"))
         h *= 2
         level = written(_repeated(pair, "r", ["k", "jx"]), f"rank-{h}")
         if not level.head(1):
             break
         ranks = ranks.unionByName(level.withColumn("h", F.lit(h)))
-    settled = written(_settle(ranks, shape), "settled")
+    settled = written(_repeated(_settle(ranks, shape), "core", ["k", "lo"]), "settled")
     whole = written(_repeated(settled.filter("around IS NOT NULL"), "around", ["k", "lo"]).select("k", "lo", "hi"), "whole")
-    marked = written(settled.join(whole.select("k", "lo", F.lit(True).alias("sure")), ["k", "lo"], "left").select("k", "lo", "hi", "phrase", F.col("sure").isNull().alias("ask")), "marked")
-    asked = marked.filter("ask").select("phrase").distinct()
-    ranges = marked.join(asked, "phrase", "left_semi").groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "ask")).alias("ranges"))
+    marked = written(settled.join(whole.select("k", "lo", F.lit(True).alias("sure")), ["k", "lo"], "left").select("k", "lo", "hi", "core", F.col("sure").isNull().alias("ask")), "marked")
+    asked = marked.filter("ask").select("core").distinct()
+    ranges = marked.join(asked, "core", "left_semi").groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "ask")).alias("ranges"))
 
     def strings(batches):
         seen: set[int] = set()
