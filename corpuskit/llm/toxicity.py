@@ -69,22 +69,17 @@ class ToxicityModel:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def _fit(bags: list[list[list[int]]], y: np.ndarray, steps: int, rate: float, l2: float, min_docs: int, min_lift: float) -> ToxicityModel:
-    """Full-batch Adam on the noisy-or likelihood.
+def _fit(word: np.ndarray, sentence_words_: np.ndarray, doc_sentences: np.ndarray, y: np.ndarray, steps: int, rate: float, l2: float, min_docs: int, min_lift: float) -> ToxicityModel:
+    """Full-batch Adam on the noisy-or likelihood, from flat word hashes, words per sentence and sentences per document.
 
     Words of at least ``min_docs`` documents take part whose share of toxic
     documents is ``min_lift`` standard errors from the overall share.
     """
-    sent_of, word_of, doc_of_sent = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            sent_of.append(np.full(len(s), len(doc_of_sent)))
-            word_of.append(np.array(s, dtype=np.int64))
-            doc_of_sent.append(d)
-    none = ToxicityModel(np.zeros(N_HASH), -30.0)
-    if not doc_of_sent or not 0 < y.sum() < len(y):
-        return none
-    sent, word, doc = np.concatenate(sent_of), np.concatenate(word_of), np.array(doc_of_sent)
+    if not len(word) or not 0 < y.sum() < len(y):
+        return ToxicityModel(np.zeros(N_HASH), -30.0)
+    word = word.astype(np.int64)
+    sent = np.repeat(np.arange(len(sentence_words_)), sentence_words_)
+    doc = np.repeat(np.arange(len(doc_sentences)), doc_sentences)
     seen = np.unique(doc[sent] * N_HASH + word)
     n_docs, n_toxic = np.bincount(seen % N_HASH, minlength=N_HASH), np.bincount(seen % N_HASH, y[seen // N_HASH], minlength=N_HASH)
     prior = y.mean()
@@ -129,7 +124,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out_mod: int = 3, held
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
             .orderBy(F.xxhash64("doc_id", "text")).limit(max_docs).select("doc_id", "y", words("text").alias("s")).toArrow())
     table = rows.sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    return _fit(table.column("s").to_pylist(), np.array(table.column("y").to_pylist(), dtype=np.int64), steps, rate, l2, min_docs, min_lift)
+    bags = table.column("s").combine_chunks()
+    parts = bags.flatten()
+    return _fit(parts.flatten().to_numpy(), parts.value_lengths().to_numpy(), bags.value_lengths().to_numpy(), table.column("y").to_numpy().astype(np.int64), steps, rate, l2, min_docs, min_lift)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, held_out_mod: int = 3, held_out: int = 1) -> DataFrame:
