@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from corpuskit.llm.common import fold, written
 
@@ -55,7 +56,7 @@ def text_stats(text: str | None) -> list[float]:
             once / max(len(counts), 1), top / max(k, 1), same / max(k, 1), ends / max(len(counts), 1), np.log1p(k / max(len(lines), 1)), len(set(lines)) / max(len(lines), 1)]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))  # no session is needed to import this module
 def stats_udf(text: pd.Series) -> pd.Series:
     return text.map(text_stats)
 
