@@ -37,21 +37,23 @@ def line_tokens(line: Column) -> Column:
 
 def masked_line(line: Column) -> Column:
     """The line's tokens joined by one blank, those with a digit as the wildcard."""
-    joined = F.array_join(line_tokens(line), " ")
+    uneven = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.startswith(" ") | line.endswith(" ")
+    joined = F.when(uneven, F.array_join(line_tokens(line), " ")).otherwise(line)
     return F.when(joined.rlike("[0-9]"), F.regexp_replace(joined, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(joined)
 
 
-def _parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """``(k, mask, tokens)`` of the lines that take part; ``k`` stands for the text."""
+def _parsed(docs: DataFrame, min_tokens: int) -> DataFrame:
+    """``(k, mask, n)`` of the lines that take part; ``k`` stands for the text, ``n`` counts tokens."""
     text = F.col("text").cast("string")
     lines = docs.filter(text.isNotNull()).select(F.xxhash64(text).alias("k"), F.explode(F.split(text, "\n")).alias("line"))
-    return lines.select("k", masked_line(F.col("line")).alias("mask")).withColumn("tokens", F.split("mask", " ")).filter(F.size("tokens") >= min_tokens)
+    blanks = F.octet_length("mask") - F.octet_length(F.replace("mask", F.lit(" ")))
+    return lines.select("k", masked_line(F.col("line")).alias("mask")).withColumn("n", blanks + 1).filter(F.col("n") >= min_tokens)
 
 
 def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, min_constant: float) -> tuple[DataFrame, DataFrame]:
     """``(line, template)`` of the dropped lines and ``(k, line)`` of the texts that hold them."""
-    parsed = _parsed(docs, depth, min_tokens)
-    leaf = F.md5(F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth)))
+    parsed = _parsed(docs, min_tokens)
+    leaf = F.md5(F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("mask", " ", depth)))
     lines = written(parsed.select("k", leaf.alias("leaf"), F.xxhash64("mask").alias("line")).distinct(), "lines")
     identity = lines.groupBy("k").agg(F.min("leaf").alias("id"))
     known = written(lines.join(identity, "k"), "lines-id")
