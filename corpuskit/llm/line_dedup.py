@@ -11,8 +11,8 @@ dropped.
 Copies of one document must not look like recurrence, or they would lose all
 their lines.  So texts, not rows, are counted, and a template recurs if the texts
 that hold it have at least ``min_docs`` different identities and at least half as
-many identities as texts; the identity of a text is the smallest ``md5`` among
-its leaves, which near copies mostly share.
+many identities as texts; the identity of a text, as seen from a line, is the
+smallest ``md5`` among the leaves of its other lines, which near copies mostly share.
 
 Defined results: a null text stays null, an empty one empty; lines of fewer than
 ``min_tokens`` tokens (blank ones too) always stay; white space within a line
@@ -55,8 +55,9 @@ def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, m
     parsed = _parsed(docs, min_tokens)
     leaf = F.md5(F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("mask", " ", depth)))
     lines = written(parsed.select("k", leaf.alias("leaf"), F.xxhash64("mask").alias("line")).distinct(), "lines")
-    identity = lines.groupBy("k").agg(F.min("leaf").alias("id"))
-    known = written(lines.join(identity, "k"), "lines-id")
+    two = lines.groupBy("k").agg(F.slice(F.array_sort(F.collect_set("leaf")), 1, 2).alias("m"))
+    other = F.when(F.col("leaf") != F.col("m")[0], F.col("m")[0]).otherwise(F.coalesce(F.get("m", F.lit(1)), F.col("leaf")))
+    known = written(lines.join(two, "k").select("k", "leaf", "line", other.alias("id")), "lines-id")
     hot = known.groupBy("leaf").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
     held = written(known.join(hot, "leaf", "left_semi"), "lines-hot")
 
@@ -103,8 +104,8 @@ l1 AS (SELECT k, raw, regexp_replace(array_to_string(list_filter(string_split(tr
        '[^ ]*[0-9][^ ]*', '<*>', 'g') AS mask FROM l0),
 l2 AS (SELECT k, raw, mask, string_split(mask, ' ') AS t FROM l1),
 l3 AS (SELECT DISTINCT k, mask, md5(len(t)::VARCHAR || ' ' || array_to_string(t[1:3], ' ')) AS leaf FROM l2 WHERE len(t) >= 5),
-ident AS (SELECT k, min(leaf) AS id FROM l3 GROUP BY k),
-known AS (SELECT l3.*, id FROM l3 JOIN ident USING (k)),
+ident AS (SELECT k, list_sort(list(DISTINCT leaf)) AS m FROM l3 GROUP BY k),
+known AS (SELECT l3.*, CASE WHEN leaf <> m[1] THEN m[1] ELSE coalesce(m[2], leaf) END AS id FROM l3 JOIN ident USING (k)),
 hot AS (SELECT leaf FROM known GROUP BY leaf HAVING count(DISTINCT id) >= 5),
 held AS (SELECT * FROM known WHERE leaf IN (SELECT leaf FROM hot)),
 distinct_lines AS (SELECT leaf, mask, count(DISTINCT k) AS docs, string_split(mask, ' ') AS t FROM held GROUP BY leaf, mask),
