@@ -10,16 +10,18 @@ from pyspark.sql.types import IntegerType, StringType
 
 
 def _lcs(x, y) -> int:
+    """Bit-parallel: bit j of ``row`` is 0 where the LCS of the prefixes grows at ``y[j]``."""
     if x is None or y is None or len(x) == 0 or len(y) == 0:
         return 0
-    x, y = list(x), list(y)
-    prev = [0] * (len(y) + 1)
-    for xi in x:
-        cur = [0]
-        for j, yj in enumerate(y):
-            cur.append(prev[j] + 1 if xi == yj else max(prev[j + 1], cur[j]))
-        prev = cur
-    return prev[-1]
+    places: dict = {}
+    for j, w in enumerate(y):
+        places[w] = places.get(w, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for w in x:
+        hit = row & places.get(w, 0)
+        row = (row + hit | row - hit) & full
+    return len(y) - row.bit_count()
 
 
 @F.pandas_udf(IntegerType())
@@ -29,35 +31,34 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def wordpiece_fn(vocab_bc, unk: str = "[UNK]", max_chars: int = 200):
-    """Greedy longest-match-first word pieces (``##`` continuation); the whole word becomes
-    ``unk`` if any piece fails or it is longer than ``max_chars``.  ``vocab_bc`` is a
-    broadcast set of pieces (bounded vocabulary)."""
+    """Word pieces (``##`` marks a continuation), at each place the longest known one; a word
+    with a place that no piece fits, or of more than ``max_chars`` characters, is ``unk``.
+    ``vocab_bc`` is a broadcast set of pieces; they are looked up by first character, longest first."""
+    from itertools import groupby
+
     from pyspark.sql.types import ArrayType, StringType
 
-    def encode(word):
+    def by_first(pieces):
+        ordered = sorted((p for p in pieces if p), key=lambda p: (p[0], -len(p)))
+        return {first: tuple(own) for first, own in groupby(ordered, key=lambda p: p[0])}
+
+    def split(word, heads, tails):
         if word is None:
             return None
-        if len(word) > max_chars:
-            return [unk]
-        vocab = vocab_bc.value
-        out, start = [], 0
-        while start < len(word):
-            end, cur = len(word), None
-            while start < end:
-                piece = word[start:end] if start == 0 else "##" + word[start:end]
-                if piece in vocab:
-                    cur = piece
-                    break
-                end -= 1
-            if cur is None:
+        found, rest, known = [], word if len(word) <= max_chars else "", heads
+        while rest:
+            fit = next((p for p in known.get(rest[0], ()) if rest.startswith(p)), None)
+            if fit is None:
                 return [unk]
-            out.append(cur)
-            start = end
-        return out
+            found.append(fit if known is heads else "##" + fit)
+            rest, known = rest[len(fit):], tails
+        return found or ([unk] if word else [])
 
     @F.pandas_udf(ArrayType(StringType()))
     def wordpiece(words: pd.Series) -> pd.Series:
-        return words.apply(encode)
+        pieces = vocab_bc.value
+        heads, tails = by_first(pieces), by_first(p[2:] for p in pieces if p.startswith("##"))
+        return words.apply(lambda w: split(w, heads, tails))
 
     return wordpiece
 

@@ -24,7 +24,7 @@ NL = "\n"
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for right results.
 # Article cleaning (whole-line category, tail sections, list titles, disambiguation):
-CATEGORY_LINE = r"^Category:[^\t\n\r\f]+$"
+CATEGORY_LINE = r"\ACategory:[\S ]+\z"
 TAIL_SECTION = r"\n(References|See also|External Links)\s?\n"
 LIST_TITLE_PREFIX = "List of"
 DISAMBIGUATION_SUFFIX = " may refer to:"

@@ -93,13 +93,15 @@ def q_best_checkpoint(spark, d):
     return K.best_rows(named(spark, d), ["task"], ["value", "k"], "event_id").select("task", "event_id", "run_path", "value")
 
 
-@query("retention_plan", "WITH " + BEST_RUN + f""", ck AS (SELECT event_id, CASE WHEN ends_with({CKPT_SQL}, 'model') THEN {CKPT_SQL} || '.pth.tar' ELSE {CKPT_SQL} END AS path FROM events)
-SELECT ck.event_id, ck.path, CASE WHEN br.event_id IS NOT NULL THEN 'keep' WHEN NOT ends_with(ck.path, '.pth.tar') THEN 'skip' ELSE 'delete' END AS action
-FROM ck LEFT JOIN br USING (event_id)""")
+@query("retention_plan", "WITH " + NAMED + f""", bt AS (SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY task ORDER BY value DESC, k DESC, event_id) AS rn FROM nm) WHERE rn = 1),
+ck AS (SELECT event_id, CASE WHEN ends_with({CKPT_SQL}, 'model') THEN {CKPT_SQL} || '.pth.tar' ELSE {CKPT_SQL} END AS path FROM events)
+SELECT ck.event_id, ck.path, CASE WHEN bt.event_id IS NOT NULL THEN 'keep' WHEN NOT ends_with(ck.path, '.pth.tar') THEN 'skip' ELSE 'delete' END AS action
+FROM ck LEFT JOIN bt USING (event_id)""")
 def q_retention_plan(spark, d):
     e = table(spark, d, "events", "event_id", "user_id")
     ck = e.select("event_id", _ckpt(e).alias("path"))
-    return K.retention_plan(ck, best_per_run(spark, d), "event_id", "path").select("event_id", "path", "action")
+    best = K.best_rows(named(spark, d), ["task"], ["value", "k"], "event_id")
+    return K.retention_plan(ck, best, "event_id", "path").select("event_id", "path", "action")
 
 
 @query("replicas_agree", """

@@ -47,7 +47,7 @@ EVENTS_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructF
 
 
 @query("throughput_windows", """
-SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS docs, CAST(sum(length(props)) AS BIGINT) AS bytes
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS docs, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes
 FROM events GROUP BY 1""")
 def q_throughput_windows(spark, d):
     out, ck = scratch_dir(spark, "tput"), scratch_dir(spark, "tput-ckpt")

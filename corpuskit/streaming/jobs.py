@@ -57,7 +57,7 @@ def throughput_windows(spark: SparkSession, src: str, glob: str, out: str, ckpt:
     s = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1).parquet(src)
     agg = (s.withWatermark("ts", delay)
            .groupBy(F.window("ts", window).alias("w"))
-           .agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("props")).alias("bytes")))
+           .agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("props")).alias("bytes")))
 
     def per_batch(df: DataFrame, batch_id: int):
         df.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "docs", "bytes",
@@ -81,26 +81,30 @@ PATIENCE_STATE = "best double, since int"
 def _patience_fn(patience_n: int):
     def fn(key, pdfs, state):
         best, since = (state.get if state.exists else (None, 0))
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            out_since, out_stop = [], []
-            for v in pdf["value"].tolist():
-                if best is None or v > best:
-                    best, since = v, 0
-                else:
-                    since += 1
-                out_since.append(since)
-                out_stop.append(since > patience_n)
-            state.update((best, since))
-            yield pd.DataFrame({"event_id": pdf["event_id"].astype("int64"), "run_path": pdf["run_path"],
-                                "since_improvement": pd.Series(out_since, dtype="int32"), "stop": out_stop})
+        # a run's rows may come in several Arrow chunks and in any order: order the whole micro-batch first
+        parts = list(pdfs)
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
+        counts = []
+        for v in pdf["value"].tolist():
+            if best is None or v > best:
+                best, since = v, 0
+            else:
+                since += 1
+            counts.append(since)
+        state.update((best, since))
+        since_improvement = pd.Series(counts, dtype="int32")
+        yield pd.DataFrame({"event_id": pdf["event_id"].astype("int64"), "run_path": pdf["run_path"],
+                            "since_improvement": since_improvement, "stop": since_improvement > patience_n})
 
     return fn
 
 
 def stream_patience(spark: SparkSession, src: DataFrame, out: str, ckpt: str, patience_n: int) -> None:
     """K9/K10 over an arriving metrics log: per-run state (best so far, evaluations since),
-    ``applyInPandasWithState``.  Rows of one run inside a micro-batch are ordered by time."""
+    ``applyInPandasWithState``.  Rows of one run are ordered by time within a micro-batch; a row
+    older than an earlier micro-batch counts as an evaluation that arrives now."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     g = src.groupBy("run_path").applyInPandasWithState(

@@ -36,28 +36,13 @@ def test_pack_boundaries_golden(spark):
     assert [(r["doc_ord"], r["offset"]) for r in b] == [(0, 0), (1, 1), (2, 0), (3, 2), (3, 6)]
 
 
-def _walk(sizes, S):
-    """The reference's sequential boundary walk, written from its description."""
-    T_ = sum(sizes)
-    n = (T_ - 1) // S
-    out = [(0, 0)]
-    di, off = 0, 0
-    for _ in range(n):
-        rem = S + 1
-        while rem != 0:
-            length = sizes[di] - off
-            rem -= length
-            if rem <= 0:
-                off += rem + length - 1
-                rem = 0
-            else:
-                di += 1
-                off = 0
-        out.append((di, off))
-    return out
-
-
-def test_pack_closed_form_matches_walk(spark):
+def _laid_out(sizes, S):
+    """Boundaries by laying the token stream out: sample i begins at token i * S of it."""
+    stream = [(doc, at) for doc, size in enumerate(sizes) for at in range(size)]
+    return [stream[i * S] for i in range((len(stream) - 1) // S + 1)]
+
+
+def test_pack_closed_form_matches_layout(spark):
     import random
 
     rng = random.Random(7)
@@ -68,7 +53,7 @@ def test_pack_closed_form_matches_walk(spark):
             continue
         docs = spark.createDataFrame(list(enumerate(sizes)), "doc_ord long, size long")
         got = [(r["doc_ord"], r["offset"]) for r in E.pack_boundaries(docs, "doc_ord", "size", S).orderBy("sample_id").collect()]
-        assert got == _walk(sizes, S), (sizes, S)
+        assert got == _laid_out(sizes, S), (sizes, S)
 
 
 def _blocks(spark, sizes, target, min_sent):
