@@ -39,24 +39,31 @@ def rank_within_sets(df: DataFrame, set_col: str, order: str, n_buckets: int = 3
 
 
 def blend(ranked: DataFrame, set_col: str, weights: dict, n_buckets: int | None = None, set_index: dict | None = None) -> DataFrame:
-    """G1: ``(pos, set, k)`` in virtual-time order ``(k + 0.5) / w``, ties by set index.
-
-    ``ranked`` has ``k`` (rank inside the set).  The virtual time of row k is close
-    to its final position, so ``floor(vt * B / N)`` is a range bucket and the
-    global order needs no sampling and no single-task sort.
+    """G1: ``(pos, set, k)``: as many slots as there are rows in all sets, shared out by weight.
+
+    Slot ``k`` of a set has the virtual time ``(k + 0.5) / w``; the slots before time
+    ``N`` are kept, in the order of time and set index, so each prefix follows the
+    weights within two rows.  Past a set's end its rows come again from the
+    beginning; rows of a set beyond its share do not come at all.  ``ranked`` has
+    ``k`` (rank inside the set).  The virtual time is close to the final position,
+    so ``floor(time * B / N)`` is a range bucket and the global order needs no
+    sampling and no single-task sort.
     """
     w = normalise_weights(weights)
     idx = set_index or {s: i for i, s in enumerate(sorted(w))}
     spark = ranked.sparkSession
     wdf = spark.createDataFrame([(s, w[s], idx[s]) for s in w], f"{set_col} string, _w double, _si int")
-    d = ranked.join(F.broadcast(wdf), set_col)
+    sizes = ranked.groupBy(set_col).agg(F.count(F.lit(1)).alias("_len")).join(F.broadcast(wdf), set_col)  # a row per set
+    tot = sizes.agg(F.sum("_len").alias("_N"))
+    slots = F.ceil(F.col("_w") * F.col("_N") - F.lit(0.5)).cast("bigint")
+    d = ranked.join(F.broadcast(sizes.crossJoin(F.broadcast(tot)).withColumn("_slots", slots)), set_col).filter(F.col("k") < F.col("_slots"))
+    turns = F.floor((F.col("_slots") - 1 - F.col("k")) / F.col("_len")).cast("bigint")
+    d = d.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), turns))).withColumn("k", F.col("k") + F.col("_j") * F.col("_len"))
     d = d.withColumn("_vt", (F.col("k") + F.lit(0.5)) / F.col("_w"))
     nb = n_buckets or P.default_buckets(spark)
-    tot = d.agg(F.count(F.lit(1)).alias("_N"))
-    d = d.crossJoin(F.broadcast(tot))
-    bucket = F.least(F.floor(F.col("_vt") * F.lit(nb) / F.greatest(F.col("_N"), F.lit(1))), F.lit(nb * 64)).cast("int")
+    bucket = F.least(F.floor(F.col("_vt") * F.lit(nb) / F.col("_N")), F.lit(nb - 1)).cast("int")
     out = P.global_positions(d, [F.col("_vt"), F.col("_si")], bucket, rank_col="pos")
-    return out.drop("_w", "_si", "_vt", "_N")
+    return out.drop("_w", "_si", "_vt", "_N", "_slots", "_len", "_j")
 
 
 def mixture(ranked: DataFrame, set_col: str, weights: dict, sizes: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def ranked_in_lang(spark, d):
 
 BLEND_SQL = f"""WITH {RANK_IN_LANG},
 w AS (SELECT * FROM {_wvalues(BLEND_W)}),
-v AS (SELECT r.*, (CAST(k AS DOUBLE) + 0.5) / w AS vt, si FROM r JOIN w USING (lang)),
+z AS (SELECT lang, w, si, len, CAST(ceil(w * n - 0.5) AS BIGINT) AS slots FROM (SELECT lang, count(*) AS len FROM r GROUP BY lang) JOIN w USING (lang), (SELECT count(*) AS n FROM r JOIN w USING (lang))),
+v AS (SELECT doc_id, lang, r.k + j * len AS k, (CAST(r.k + j * len AS DOUBLE) + 0.5) / w AS vt, si FROM r JOIN z USING (lang), generate_series(0, CAST(floor((slots - 1 - r.k) / len) AS BIGINT)) g(j) WHERE r.k < slots),
 b AS (SELECT doc_id, lang, k, row_number() OVER (ORDER BY vt, si) - 1 AS pos FROM v)
 """
 

@@ -1,3 +1,4 @@
+import pytest
 """Invariants for operators without a value oracle, and partition independence."""
 
 from pyspark.sql import functions as F
@@ -19,15 +20,15 @@ def test_shuffle_independent_of_partitioning(spark):
     assert sorted(res[0]) == list(range(500))
 
 
-def test_blend_prefix_drift(spark):
-    sizes = {"a": 300, "b": 120, "c": 80}
+@pytest.mark.parametrize("sizes", [{"a": 300, "b": 120, "c": 80}, {"a": 40, "b": 400, "c": 60}, {"a": 10, "b": 10, "c": 480}])
+def test_blend_follows_the_weights(spark, sizes):
     w = {"a": 0.6, "b": 0.24, "c": 0.16}
-    rows = [(s, i) for s, n in sizes.items() for i in range(n)]
-    df = spark.createDataFrame(rows, "s string, k long")
-    b = G.blend(df, "s", w)
-    assert b.count() == 500
-    drift = G.max_prefix_drift(b, "s", w).first()[0]
-    assert drift < 2.0
+    rows = [(s, i, f"{s}{i}") for s, n in sizes.items() for i in range(n)]
+    b = G.blend(spark.createDataFrame(rows, "s string, k long, row string"), "s", w)
+    got = sorted((r["pos"], r["s"], r["k"], r["row"]) for r in b.collect())
+    assert abs(len(got) - 500) <= 2 and [g[0] for g in got] == list(range(len(got)))
+    assert all(row == f"{s}{k % sizes[s]}" for _, s, k, row in got)  # past a set's end its rows come again
+    assert G.max_prefix_drift(b, "s", w).first()[0] < 2.0
 
 
 def test_random_spans_mask(spark):
