@@ -61,9 +61,10 @@ def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, m
     hot = known.groupBy("leaf").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
     held = written(known.join(hot, "leaf", "left_semi"), "lines-hot")
 
-    distinct = held.groupBy("leaf", "line").agg(F.count_distinct("k").alias("docs"))
-    masks = parsed.select(F.xxhash64("mask").alias("line"), "mask").join(distinct.select("line"), "line", "left_semi").groupBy("line").agg(F.min("mask").alias("mask"))
-    whole = written(distinct.join(masks, "line"), "line-masks")
+    distinct = held.groupBy("leaf", "line").agg(F.count_distinct("k").alias("docs"), F.min("k").alias("k"))
+    # one text of each line gives its mask, so a line that very many texts share does not meet in one task
+    masks = parsed.select("k", F.xxhash64("mask").alias("line"), "mask").join(distinct.select("k", "line"), ["k", "line"], "left_semi").groupBy("line").agg(F.min("mask").alias("mask"))
+    whole = written(distinct.drop("k").join(masks, "line"), "line-masks")
     at = whole.select("leaf", "line", "docs", F.posexplode(F.split("mask", " ")).alias("pos", "token"))
     rare = at.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"))
     fixed = F.when(F.col("n") >= min_docs, F.col("token")).otherwise("<*>")
