@@ -13,12 +13,16 @@ Windows of a document that match no item are left out before the shuffle, by a
 hash set of the item windows, where that set has at most ``max_broadcast``
 entries; a larger set takes the plain shuffle join, with the same result.
 
+An item without a usable window, because it is shorter or has too few plain
+words, is one window as a whole: as a template if it has ``min_literal`` plain
+words or nothing else, and always word by word.  Documents are cut at every
+length that such items have, so an item is found at any place of a text.
+
 Defined results: null and empty texts (of either side) have no windows and are
-clean; an item or document shorter than the window is one window as a whole, and
-such short items match whole documents only if as short; windows with fewer than
-``min_literal`` words that are no placeholders are not used; null item ids are
-kept as an item of their own; repeated rows are judged alike; empty tables are
-clean or empty.  Other columns are not read.
+clean; windows with fewer than ``min_literal`` words that are no placeholders are
+not used; an item of one or two words matches wherever these stand; null item ids
+are kept as an item of their own; repeated rows are judged alike; empty tables
+are clean or empty.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,76 +38,142 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm.common import written
 
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n]")
+#: Scripts without spaces between words (Thai to Lao, Burmese, Khmer, kana, Han): a letter is a token.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|[^\W\d_{_UNSPACED}]+|[.!?\n]|(?=[^\W\d_])[{_UNSPACED}]")
 NUMBER, NAME, UNIT = 1, 2, 3
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half third quarter".split())
 UNITS = frozenset("mm cm km mg kg g lb lbs oz ml l mph kmh hz khz mhz ghz kw mw gb mb tb kb usd eur gbp inch inches foot feet yard yards mile miles meter meters metre metres centimeter centimeters kilometer kilometers gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees celsius fahrenheit".split())
 
 
-def canonical(text: str | None, cache: dict) -> tuple[np.ndarray, list[str]]:
-    """Hashes of the template tokens (1 number, 2 name, 3 unit) and the tokens themselves."""
-    codes, words, first = [], [], True
-    for w in _TOKEN.findall(text or ""):
-        if w in ".!?\n":
-            first = True
-            continue
-        got = cache.get(w)
-        if got is None:
-            low = w.lower()
-            kind = NUMBER if w[0].isdigit() or low in NUMBER_WORDS else UNIT if low in UNITS else 0
-            if len(cache) > 300_000:
-                cache.clear()
-            got = cache[w] = (kind or xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")), not kind and len(w) > 1 and w[0].isupper() and not w.isupper())
-        code, title = got
-        codes.append(NAME if title and not first else code)
-        words.append(w)
-        first = False
-    return np.array(codes, dtype=np.uint64), words
+_BASE = 0x9E3779B97F4A7C15
+#: Ways to write a text as tokens: sentence starts as words, every token as its word.
+PLAIN, EXACT = 0, 2
+_SCHEMA = pa.schema([("k", pa.int64()), ("view", pa.int32()), ("pos", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))])
+
+
+class Vocabulary(dict):
+    """Number of each token seen, and by that number its template code, word hash, and whether it is written like a name or ends a sentence."""
+
+    def __init__(self) -> None:
+        self.code, self.word = np.zeros(4096, np.uint64), np.zeros(4096, np.uint64)
+        self.title, self.stop = np.zeros(4096, bool), np.zeros(4096, bool)
+
+    def __missing__(self, w: str) -> int:
+        i = len(self)
+        if i == len(self.code):
+            for name in ("code", "word", "title", "stop"):
+                setattr(self, name, np.resize(getattr(self, name), 2 * i))
+        low = w.lower()
+        kind = NUMBER if w[0].isdigit() or low in NUMBER_WORDS else UNIT if low in UNITS else 0
+        self.word[i] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
+        self.code[i] = kind or self.word[i]
+        self.title[i] = not kind and len(w) > 1 and w[0].isupper() and not w.isupper()
+        self.stop[i] = w in ".!?\n"
+        self[w] = i
+        return i
+
+
+class Tokens:
+    """A text's tokens and, for each view, template hashes (1 number, 2 name, 3 unit) with the range of tokens behind each."""
+
+    def __init__(self, text: str | None, known: Vocabulary) -> None:
+        if len(known) > 300_000:
+            known.clear()
+        self.raw = _TOKEN.findall(text or "")
+        row = np.fromiter(map(known.__getitem__, self.raw), np.int64, len(self.raw))
+        stop = known.stop[row]
+        at = np.flatnonzero(~stop)
+        first = np.concatenate([[True], stop])[at]
+        row = row[at]
+        code, title = known.code[row], known.title[row]
+        self.views = {PLAIN: (np.where(title & ~first, np.uint64(NAME), code), at, at + 1), EXACT: (known.word[row], at, at + 1)}
+
+    def slots(self, view: int, pos: int, size: int) -> list[str]:
+        """Values of the placeholders of a window."""
+        if view == EXACT:
+            return []
+        codes, start, end = self.views[view]
+        return [" ".join(self.raw[start[j]:end[j]]).lower() for j in range(pos, pos + size) if codes[j] <= UNIT]
 
 
 def window_hashes(codes: np.ndarray, window: int, min_literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and hashes of the usable windows; a short text is one window."""
+    """Start positions and hashes of the usable windows."""
     n = len(codes)
-    if not n:
+    if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    size = min(window, n)
     literal = np.concatenate([[0], np.cumsum(codes > UNIT)])
-    count = literal[size:] - literal[:-size]
+    count = literal[window:] - literal[:-window]
     with np.errstate(over="ignore"):
-        h = np.full(n - size + 1, np.uint64(size), dtype=np.uint64)
-        for k in range(size):
-            h = (h ^ codes[k:k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h = np.full(n - window + 1, np.uint64(window), dtype=np.uint64)
+        for k in range(window):
+            h = (h ^ codes[k:k + len(h)]) * np.uint64(_BASE)
             h ^= h >> np.uint64(29)
-    at = np.flatnonzero(count >= min(min_literal, size))
+    at = np.flatnonzero(count >= min(min_literal, window))
     return at, h[at].astype(np.int64)
 
 
-def _windows(rows: DataFrame, window: int, min_literal: int, only) -> DataFrame:
-    """``(k, pos, n, h, slots)`` of ``rows(k, text)``; ``only`` is a broadcast of sorted hashes or None."""
-    schema = pa.schema([("k", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))])
-
-    def cut(batches):
-        known = None if only is None else only.value
-        cache: dict = {}
+def size_hashes(codes: np.ndarray, sizes: list[int], view: int):
+    """``(size, hashes of all windows of that size)``: one pass for a size, however large."""
+    n = len(codes)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(n, _BASE, np.uint64))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(codes * np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)), out=total[1:])
+        for size in sizes:
+            if 0 < size <= n:
+                h = ((total[size:] - total[:-size]) * power[:n - size + 1] ^ np.uint64(size * 4 + view)) * np.uint64(_BASE)
+                yield size, (h ^ h >> np.uint64(29)).astype(np.int64)
+
+
+def _item_windows(text: str | None, known: Vocabulary, window: int, min_literal: int):
+    """``(view, pos, n, size, h, slots)`` of an item; ``size`` is 0 for ordinary windows."""
+    tokens, whole = Tokens(text, known), False
+    for view, (codes, _, _) in tokens.views.items():
+        at, h = window_hashes(codes, window, min_literal) if view != EXACT else ((), ())
+        for p, v in zip(at, h):
+            yield view, int(p), len(h), 0, int(v), tokens.slots(view, p, window)
+        whole |= view != EXACT and not len(h)
+        n = len(codes)
+        if whole if view == EXACT else not len(h) and np.sum(codes > UNIT) >= min(min_literal, n):
+            for _, one in size_hashes(codes, [n], view):
+                yield view, 0, 1, n, int(one[0]), tokens.slots(view, 0, n)
+
+
+def _text_windows(text: str | None, known: Vocabulary, window: int, min_literal: int, only: np.ndarray | None, sizes: dict):
+    """``(view, pos, n, size, h, slots)`` of a document's windows, those in ``only`` if given."""
+    tokens = Tokens(text, known)
+    for view, (codes, _, _) in tokens.views.items():
+        cuts = [] if view == EXACT else [(0, *window_hashes(codes, window, min_literal))]
+        if sizes.get(view):
+            cuts += [(size, np.arange(len(h)), h) for size, h in size_hashes(codes, sizes[view], view)]
+        for size, at, h in cuts:
+            if only is not None and len(h):
+                hit = only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h if len(only) else np.zeros(len(h), bool)
+                at, h = at[hit], h[hit]
+            if view == EXACT:  # without slots one place is as good as any
+                h, places = np.unique(h, return_index=True)
+                at = at[places]
+            for p, v in zip(at.tolist(), h.tolist()):
+                yield view, p, 0, size, v, tokens.slots(view, p, size or window)
+
+
+def _windows(rows: DataFrame, cut) -> DataFrame:
+    """``(k, view, pos, n, size, h, slots)`` of ``rows(k, text)`` by ``cut(text, vocabulary)``."""
+
+    def run(batches):
+        known = Vocabulary()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[] for _ in _SCHEMA]
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    codes, words = canonical(text, cache)
-                    pos, h = window_hashes(codes, window, min_literal)
-                    total = len(h)
-                    if known is not None and total:
-                        hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(total, bool)
-                        pos, h = pos[hit], h[hit]
-                    size = min(window, len(codes))
-                    for p, v in zip(pos.tolist(), h.tolist()):
-                        slots = [words[j].lower() for j in range(p, p + size) if codes[j] <= UNIT]
-                        for col, x in zip(out, (key, p, total, v, slots)):
+                    for row in cut(text, known):
+                        for col, x in zip(out, (key, *row)):
                             col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SCHEMA.types)], schema=_SCHEMA)
 
-    return rows.mapInArrow(cut, "k bigint, pos int, n int, h bigint, slots array<string>")
+    return rows.mapInArrow(run, "k bigint, view int, pos int, n int, size int, h bigint, slots array<string>")
 
 
 def _consistent(pairs: list, n: int) -> float:
@@ -129,16 +199,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_
     """``(k, item_ids, share)`` for the texts that hold a benchmark item; ``k`` is ``xxhash64(text)``."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("k"), F.col("text").cast("string").alias("text"))
-    of_items = written(_windows(items, window, min_literal, None), "item-windows")
+    of_items = written(_windows(items, lambda text, known: _item_windows(text, known, window, min_literal)), "item-windows")
+    sizes: dict[int, list[int]] = {}
+    for r in of_items.filter("size > 0").select("view", "size").distinct().collect():
+        sizes.setdefault(r["view"], []).append(r["size"])
     hashes = of_items.select("h").distinct()
     n = hashes.count()
     only = spark.sparkContext.broadcast(np.sort(hashes.toArrow().column("h").to_numpy())) if n <= max_broadcast else None
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("k"), F.col("text").cast("string").alias("text"))
-    found = _windows(texts, window, min_literal, only).dropDuplicates(["k", "pos"])
+    found = _windows(texts, lambda text, known: _text_windows(text, known, window, min_literal, None if only is None else only.value, sizes)).dropDuplicates(["k", "pos", "h"])
     both = found.alias("d").join(of_items.alias("i"), F.col("d.h") == F.col("i.h")).select(
-        F.col("d.k").alias("k"), F.col("i.k").alias("item_id"), F.col("i.n").alias("n"),
+        F.col("d.k").alias("k"), F.col("i.k").alias("item_id"), F.col("i.view").alias("view"), F.col("i.n").alias("n"),
         F.struct(F.col("d.pos").alias("doc_pos"), F.col("i.pos").alias("item_pos"), F.col("d.slots").alias("doc_slots"), F.col("i.slots").alias("item_slots")).alias("p"))
-    pairs = both.groupBy("k", "item_id", "n").agg(F.collect_list("p").alias("pairs"))
+    pairs = both.groupBy("k", "item_id", "view", "n").agg(F.collect_list("p").alias("pairs"))
 
     @F.pandas_udf("double")
     def share(pairs: pd.Series, n: pd.Series) -> pd.Series:

@@ -331,3 +331,14 @@ def test_decontamination(spark, odd, none):
     # one slot value cannot stand for two
     pair = lambda p, d: {"doc_pos": p, "item_pos": p, "item_slots": ["alice"], "doc_slots": [d]}
     assert decontam._consistent([pair(0, "b"), pair(1, "b"), pair(2, "c")], 3) == pytest.approx(2 / 3)
+
+
+def test_short_items_are_found_inside_documents(spark):
+    texts = {1: "What is the capital city of France?", 2: "12 + 30 = 42 and 7", 3: "法国的首都是哪个城市", 4: "Anna 12 Ben 30 likes Carl 5 Dora 9 meets Emil 4 Finn 8 gives Gina 2 Hugo 1 sees", 5: "Short item text"}
+    bench = spark.createDataFrame(list(texts.items()), "item_id bigint, text string")
+    docs = [(i, f"{BASE}. Question: {t} Some words follow here. {BASE}") for i, t in texts.items()]
+    docs += [(11, BASE), (12, "We saw 3 + 4 = 9 and 8 in it"), (13, "the capital city of what is France"), (14, None), (15, "a short item of text"), (16, "Say: what is the capital city of Spain"), (17, "今天的问题法国的首都是哪个城市请回答")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for how in ({}, {"max_broadcast": 0}):
+        got = {r["doc_id"]: list(r["item_ids"]) for r in decontam.judge_documents(df, bench, **how).collect()}
+        assert got == {i: [i] for i in texts} | {11: [], 12: [], 13: [], 14: [], 15: [], 16: [1], 17: [3]}
