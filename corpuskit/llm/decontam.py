@@ -13,6 +13,12 @@ Windows of a document that match no item are left out before the shuffle, by a
 hash set of the item windows, where that set has at most ``max_broadcast``
 entries; a larger set takes the plain shuffle join, with the same result.
 
+Every text is read in two views, each judged for itself, and the larger share
+counts.  In the first a capitalised word is a name unless it starts a sentence.
+In the second it is one there too, unless it is a common function word, and a run
+of names is one name, so questions that begin with names and names of another
+number of words are found as well.
+
 An item without a usable window, because it is shorter or has too few plain
 words, is one window as a whole: as a template if it has ``min_literal`` plain
 words or nothing else, and always word by word.  Documents are cut at every
@@ -40,36 +46,40 @@ from corpuskit.llm.common import written
 
 #: Scripts without spaces between words (Thai to Lao, Burmese, Khmer, kana, Han): a letter is a token.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|[^\W\d_{_UNSPACED}]+|[.!?\n]|(?=[^\W\d_])[{_UNSPACED}]")
+_TOKEN = re.compile(rf"[^\W\d_{_UNSPACED}]+|\d+(?:[.,:/]\d+)*|[.!?\n]|(?=[^\W\d_])[{_UNSPACED}]")
 NUMBER, NAME, UNIT = 1, 2, 3
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half third quarter".split())
 UNITS = frozenset("mm cm km mg kg g lb lbs oz ml l mph kmh hz khz mhz ghz kw mw gb mb tb kb usd eur gbp inch inches foot feet yard yards mile miles meter meters metre metres centimeter centimeters kilometer kilometers gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees celsius fahrenheit".split())
 
 
+#: Capitalised words that are no names wherever they stand.
+FUNCTION_WORDS = frozenset("a about above after again against all also although am among an and another any are as at be because been before being below between both but by can cannot could did do does doing during each either every few find for from further give given had has have having he hence her here hers him his how however if in into is it its let many may me might mine more most much must my neither no nor not now of off often on once only or other otherwise our ours out over own per perhaps same shall she should since so some such than that the their theirs them then there therefore these they this those though through thus to too under until up upon us very was we were what when where whether which while who whom whose why will with within without would yes yet you your yours der die das den dem des ein eine einen einem einer und oder aber wenn weil dass wie was wer wo warum ist sind war er sie es wir ihr ich nicht mit von zu auf für le la les un une des du et ou mais si quand que qui quoi comment pourquoi est sont il elle ils elles nous vous je ne pas avec dans pour el los las una y o pero cuando quien como por qué es son con para en".split())
 _BASE = 0x9E3779B97F4A7C15
-#: Ways to write a text as tokens: sentence starts as words, every token as its word.
-PLAIN, EXACT = 0, 2
+#: Ways to write a text as tokens: sentence starts as words, as names with runs of names in one, every token as its word.
+PLAIN, NAMED, EXACT = 0, 1, 2
 _SCHEMA = pa.schema([("k", pa.int64()), ("view", pa.int32()), ("pos", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))])
 
 
+_TITLE, _NAME, _STOP = 4, 8, 16
+_FLAGS = {w: NUMBER for w in NUMBER_WORDS} | {w: UNIT for w in UNITS} | {w: _STOP for w in ".!?\n"}
+
+
 class Vocabulary(dict):
-    """Number of each token seen, and by that number its template code, word hash, and whether it is written like a name or ends a sentence."""
+    """Number of each token seen, and by that number its word hash and flags: kind of placeholder, written like a name, a name at a sentence start too, sentence end."""
 
     def __init__(self) -> None:
-        self.code, self.word = np.zeros(4096, np.uint64), np.zeros(4096, np.uint64)
-        self.title, self.stop = np.zeros(4096, bool), np.zeros(4096, bool)
+        self.word, self.flag = np.zeros(4096, np.uint64), np.zeros(4096, np.uint8)
 
     def __missing__(self, w: str) -> int:
         i = len(self)
-        if i == len(self.code):
-            for name in ("code", "word", "title", "stop"):
-                setattr(self, name, np.resize(getattr(self, name), 2 * i))
+        if i == len(self.word):
+            self.word, self.flag = np.resize(self.word, 2 * i), np.resize(self.flag, 2 * i)
         low = w.lower()
-        kind = NUMBER if w[0].isdigit() or low in NUMBER_WORDS else UNIT if low in UNITS else 0
         self.word[i] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
-        self.code[i] = kind or self.word[i]
-        self.title[i] = not kind and len(w) > 1 and w[0].isupper() and not w.isupper()
-        self.stop[i] = w in ".!?\n"
+        flag = _FLAGS.get(low, 0) or (NUMBER if w[0].isdigit() else 0)
+        if not flag and low != w and len(w) > 1 and w[0].isupper() and not w.isupper():
+            flag = _TITLE if low in FUNCTION_WORDS else _TITLE | _NAME
+        self.flag[i] = flag
         self[w] = i
         return i
 
@@ -82,12 +92,17 @@ class Tokens:
             known.clear()
         self.raw = _TOKEN.findall(text or "")
         row = np.fromiter(map(known.__getitem__, self.raw), np.int64, len(self.raw))
-        stop = known.stop[row]
+        flag = known.flag[row]
+        stop = flag == _STOP
         at = np.flatnonzero(~stop)
         first = np.concatenate([[True], stop])[at]
-        row = row[at]
-        code, title = known.code[row], known.title[row]
-        self.views = {PLAIN: (np.where(title & ~first, np.uint64(NAME), code), at, at + 1), EXACT: (known.word[row], at, at + 1)}
+        flag, word = flag[at], known.word[row[at]]
+        kind, name = flag & 3, flag >= _TITLE + _NAME
+        code = np.where(kind > 0, kind, word)
+        new = np.flatnonzero(~name | first | ~np.concatenate([[False], name[:-1]])[:len(name)])  # a run of names within a sentence is one
+        named = np.where(name, np.uint64(NAME), code)[new]
+        plain = np.where((flag >= _TITLE) & ~first, np.uint64(NAME), code)
+        self.views = {PLAIN: (plain, at, at + 1), NAMED: (named, at[new], np.append(at[new[1:] - 1], at[-1:]) + 1), EXACT: (word, at, at + 1)}
 
     def slots(self, view: int, pos: int, size: int) -> list[str]:
         """Values of the placeholders of a window."""
@@ -97,40 +112,36 @@ class Tokens:
         return [" ".join(self.raw[start[j]:end[j]]).lower() for j in range(pos, pos + size) if codes[j] <= UNIT]
 
 
-def window_hashes(codes: np.ndarray, window: int, min_literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and hashes of the usable windows."""
-    n = len(codes)
-    if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    literal = np.concatenate([[0], np.cumsum(codes > UNIT)])
-    count = literal[window:] - literal[:-window]
-    with np.errstate(over="ignore"):
-        h = np.full(n - window + 1, np.uint64(window), dtype=np.uint64)
-        for k in range(window):
-            h = (h ^ codes[k:k + len(h)]) * np.uint64(_BASE)
-            h ^= h >> np.uint64(29)
-    at = np.flatnonzero(count >= min(min_literal, window))
-    return at, h[at].astype(np.int64)
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
 
 
 def size_hashes(codes: np.ndarray, sizes: list[int], view: int):
     """``(size, hashes of all windows of that size)``: one pass for a size, however large."""
     n = len(codes)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(n, _BASE, np.uint64))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes * np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)), out=total[1:])
-        for size in sizes:
-            if 0 < size <= n:
-                h = ((total[size:] - total[:-size]) * power[:n - size + 1] ^ np.uint64(size * 4 + view)) * np.uint64(_BASE)
-                yield size, (h ^ h >> np.uint64(29)).astype(np.int64)
+    if n > len(_POWERS[0]):
+        _POWERS[:] = [np.cumprod(np.full(2 * n, x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(codes * _POWERS[1][:n], out=total[1:])
+    for size in sizes:
+        if 0 < size <= n:
+            h = ((total[size:] - total[:-size]) * _POWERS[0][:n - size + 1] ^ np.uint64(size * 4 + view)) * np.uint64(_BASE)
+            yield size, (h ^ h >> np.uint64(29)).astype(np.int64)
+
+
+def window_hashes(codes: np.ndarray, window: int, min_literal: int, view: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start positions and hashes of the usable windows."""
+    for _, h in size_hashes(codes, [window], view):
+        literal = np.concatenate([[0], np.cumsum(codes > UNIT)])
+        at = np.flatnonzero(literal[window:] - literal[:-window] >= min(min_literal, window))
+        return at, h[at]
+    return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
 def _item_windows(text: str | None, known: Vocabulary, window: int, min_literal: int):
     """``(view, pos, n, size, h, slots)`` of an item; ``size`` is 0 for ordinary windows."""
     tokens, whole = Tokens(text, known), False
     for view, (codes, _, _) in tokens.views.items():
-        at, h = window_hashes(codes, window, min_literal) if view != EXACT else ((), ())
+        at, h = window_hashes(codes, window, min_literal, view) if view != EXACT else ((), ())
         for p, v in zip(at, h):
             yield view, int(p), len(h), 0, int(v), tokens.slots(view, p, window)
         whole |= view != EXACT and not len(h)
@@ -144,7 +155,7 @@ def _text_windows(text: str | None, known: Vocabulary, window: int, min_literal:
     """``(view, pos, n, size, h, slots)`` of a document's windows, those in ``only`` if given."""
     tokens = Tokens(text, known)
     for view, (codes, _, _) in tokens.views.items():
-        cuts = [] if view == EXACT else [(0, *window_hashes(codes, window, min_literal))]
+        cuts = [] if view == EXACT else [(0, *window_hashes(codes, window, min_literal, view))]
         if sizes.get(view):
             cuts += [(size, np.arange(len(h)), h) for size, h in size_hashes(codes, sizes[view], view)]
         for size, at, h in cuts:

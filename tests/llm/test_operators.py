@@ -342,3 +342,19 @@ def test_short_items_are_found_inside_documents(spark):
     for how in ({}, {"max_broadcast": 0}):
         got = {r["doc_id"]: list(r["item_ids"]) for r in decontam.judge_documents(df, bench, **how).collect()}
         assert got == {i: [i] for i in texts} | {11: [], 12: [], 13: [], 14: [], 15: [], 16: [1], 17: [3]}
+
+
+def test_questions_that_begin_with_names(spark):
+    item = "Alice has 12 red apples in her basket. Bob takes 5 of them home. Alice buys 8 more from the shop. How many apples does Alice have now? Bob gives 3 back to her."
+    again = item.replace("Alice", "Walter").replace("Bob", "Nina").replace("12", "40").replace("5", "9").replace("8", "17").replace("3 ", "6 ")
+    longer = again.replace("Walter", "Mary Ann Smith")
+    swapped = again.replace("Nina takes", "Walter takes").replace("Walter buys", "Otto buys").replace("does Walter", "does Peter").replace("Nina gives", "Hugo gives")
+    trip = "A train leaves Boston at 9 for Denver while a second train leaves Denver for Boston at 11 on the same line of track"
+    moved = trip.replace("Boston", "New York").replace("9", "4").replace("11", "7").replace("Denver", "San Diego")
+    other = "Alice met 12 old friends near the river. Bob sang 5 songs there. Alice danced 8 times until dawn."
+    bench = spark.createDataFrame([(1, item), (2, trip)], "item_id bigint, text string")
+    docs = [(1, item), (2, f"{BASE}. {again}"), (3, f"{BASE}\n{longer} {BASE}"), (4, trip), (5, f"Intro here. {moved}. {BASE}"), (6, other), (7, swapped), (8, f"Text: {item}")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r["doc_id"]: (list(r["item_ids"]), r["share"]) for r in decontam.judge_documents(df, bench).collect()}
+    assert {i: v[0] for i, v in got.items()} == {1: [1], 2: [1], 3: [1], 4: [2], 5: [2], 6: [], 7: [1], 8: [1]}
+    assert all(got[i][1] == 1.0 for i in (1, 2, 3, 4, 5)) and got[7][1] < 1.0  # one name for two people
