@@ -58,10 +58,27 @@ def q_mlm_permute(spark, d):
     return p.select("doc_id", "block", arr_str("permuted_positions").alias("permuted_positions"), arr_str("permuted_tokens").alias("tokens"))
 
 
+def t5_blocks(tok, max_len):
+    """``(doc_id, block, piece, tokens)``: every token of every document, in pieces of at most ``max_len``.
+
+    Sentences longer than that are cut first, so that no document is left out for
+    one; blocks may exceed their target by a sentence and are cut likewise.
+    """
+    short = O.split_fixed(tok, ["doc_id", "sent_pos"], "tokens", max_len)
+    x = F.array_sort(F.collect_list(F.struct("sent_pos", "piece", "tokens")))
+    sents = short.groupBy("doc_id").agg(x.alias("_x")).select("doc_id", F.transform("_x", lambda s: s["tokens"]).alias("sents")).checkpoint()
+    sizes = sents.select("doc_id", F.transform("sents", lambda t: F.size(t)).alias("sizes"))
+    b = E.sentence_blocks(sizes, "doc_id", max_len, 1, close_min_remaining=0)
+    at = b.select("doc_id", "block", F.explode(F.sequence("start_sent", F.col("end_sent") - 1)).alias("i"))
+    j = sents.select("doc_id", F.posexplode("sents").alias("i", "t")).join(at, ["doc_id", "i"])
+    g = j.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("_x"))
+    whole = g.select("doc_id", "block", F.flatten(F.transform("_x", lambda s: s["t"])).alias("tokens"))
+    return O.split_fixed(whole, ["doc_id", "block"], "tokens", max_len)
+
+
 @query("t5_sentence_samples")
 def q_t5_sentence_samples(spark, d):
-    """Documents' sentences concatenated (document streams), truncated to 128, span-corrupted."""
-    s = E.doc_streams(token_table(spark, d))
-    t = O.t5_sentence_samples(s, "tokens", F.col("doc_id"), SEED, 128)
-    return t.select("doc_id", "n_spans", arr_str("encoder_input").alias("encoder_input"),
+    """Every block of every document in pieces of at most 128 tokens, span-corrupted."""
+    t = O.t5_sentence_samples(t5_blocks(token_table(spark, d), 128), "tokens", F.concat_ws(":", "doc_id", "block", "piece"), SEED, 128)
+    return t.select("doc_id", "block", "piece", "n_spans", arr_str("encoder_input").alias("encoder_input"),
                     arr_str("decoder_input").alias("decoder_input"), arr_str("decoder_output").alias("decoder_output"))

@@ -63,3 +63,23 @@ def test_word_pieces_and_lcs(spark):
     assert fn.func(pd.Series(["unaffable", "able", "unx", "a" * 300, None, "affa"])).tolist()[:4] == [["un", "##aff", "##able"], ["able"], ["[UNK]"], ["[UNK]"]]
     assert arrow_udfs._lcs("the cat sat on".split(), "cat the sat the on".split()) == 3
     assert arrow_udfs._lcs([], ["a"]) == 0 and arrow_udfs._lcs(list("abcbdab"), list("bdcaba")) == 4
+
+
+def test_t5_samples_hold_every_token(spark):
+    from corpuskit.plans import q_mlm
+    from corpuskit.plans.q_tokens import token_table
+
+    sizes = {1: [3], 2: [600, 5], 3: [100, 100, 100, 7], 4: [40] * 20, 5: [128, 128], 6: [1000]}
+    rows = [(k, p, list(range(k * 10_000 + p * 1_000, k * 10_000 + p * 1_000 + n))) for k, v in sizes.items() for p, n in enumerate(v)]
+    tok = spark.createDataFrame(rows, "doc_id long, sent_pos int, tokens array<int>").repartition(3)
+    got = {}
+    for r in sorted(q_mlm.t5_blocks(tok, 128).collect(), key=lambda r: (r["doc_id"], r["block"], r["piece"])):
+        assert 0 < len(r["tokens"]) <= 128
+        got.setdefault(r["doc_id"], []).extend(r["tokens"])
+    assert got == {k: [t for d, _, ts in rows if d == k for t in ts] for k in sizes}
+
+    # a sample's source = its inputs without sentinels + its targets without sentinels and EOS
+    n = token_table(spark, SMALL).agg(F.sum(F.size("tokens"))).first()[0]
+    size = lambda c: F.size(F.split(c, " "))
+    q = entry.queries()["t5_sentence_samples"](spark, SMALL)
+    assert q.agg(F.sum(size("encoder_input") + size("decoder_output") - 1 - 2 * F.col("n_spans"))).first()[0] == n
