@@ -32,11 +32,9 @@ def sequential_batches(samples: DataFrame, consumed: int, micro: int, workers: i
     return d.drop("_N")
 
 
-def _perm(spark, n_col_df: DataFrame, size_expr, seed, epoch: int, n_buckets: int | None):
-    """Hash permutation of ``range(size)``: ``(x, rank)``; the range is derived from the table size."""
-    size = n_col_df.select(size_expr.cast("bigint").alias("_s"))
-    r = size.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_s") - 1)).alias("x")).filter(F.col("x") >= 0)
-    r = r.repartition(spark.sparkContext.defaultParallelism)
+def _perm(spark, size: int, seed, epoch: int, n_buckets: int | None):
+    """Hash permutation of ``range(size)``: ``(x, rank)``; the range is made by all tasks."""
+    r = spark.range(size).withColumnRenamed("id", "x")
     r = r.withColumn("_h", H.u(seed, F.lit(epoch), "x"))
     nb = n_buckets or P.default_buckets(spark)
     return P.global_positions(r, [F.col("_h"), F.col("x")], P.hash_bucket(F.col("_h"), nb), rank_col="rank").drop("_h")
@@ -55,14 +53,13 @@ def cyclic_batches(samples: DataFrame, consumed: int, micro: int, workers: int,
     """
     spark = samples.sparkSession
     mw = micro * workers
-    n = samples.agg(F.count(F.lit(1)).alias("_N"))
-    nrow = n.first()["_N"]  # one scalar to pick the epoch seed; the data stay distributed
+    nrow = samples.count()  # one scalar to pick the epoch seed; the data stay distributed
     active = nrow - nrow % mw
     epoch = consumed // active if active else 0
     cur = consumed % active if active else 0
     if data_sharding:
         bsize = (nrow // mw) * micro
-        p = _perm(spark, n, F.lit(bsize), seed, epoch, n_buckets)
+        p = _perm(spark, bsize, seed, epoch, n_buckets)
         offset = cur // workers
         ws = spark.range(workers).select(F.col("id").cast("int").alias("worker"))
         d = p.filter(F.col("rank") >= offset).crossJoin(F.broadcast(ws))
@@ -71,7 +68,7 @@ def cyclic_batches(samples: DataFrame, consumed: int, micro: int, workers: int,
         full = F.floor((F.lit(bsize) - offset) / micro) * micro
         return d.filter(F.col("_o") < full).drop("_o")
     fsize = (nrow // micro) * micro
-    p = _perm(spark, n, F.lit(fsize), seed, epoch, n_buckets)
+    p = _perm(spark, fsize, seed, epoch, n_buckets)
     a = p.filter(F.col("rank") >= cur).withColumn("_a", F.col("rank") - cur)
     a = a.withColumn("worker", F.pmod(F.col("_a"), F.lit(workers)).cast("int")).withColumn("_j", F.floor(F.col("_a") / workers))
     per_worker = a.groupBy("worker").agg(F.count(F.lit(1)).alias("_c"))

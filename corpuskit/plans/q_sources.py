@@ -6,8 +6,11 @@ under ``spark.checkpoint.dir`` and then reads them back with the source under te
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from corpuskit.functions import prefix as P
 from corpuskit.operators import cleaning as C
 from corpuskit.plans import sql_inputs as Q
 from corpuskit.plans.inputs import articles_raw, table
@@ -16,22 +19,41 @@ from corpuskit.plans.registry import query
 from corpuskit.sources import files as A
 
 
+#: Bytes of text in a file, on average.
+SHARD_BYTES = 16 << 20
+
+
+def _n_files(df, text, shards=1):
+    """Files for each of ``shards`` shards, so that a file holds about SHARD_BYTES."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(1, math.ceil(size / shards / SHARD_BYTES))
+
+
+def _salt(n, *cols):
+    return F.pmod(F.xxhash64(*cols), F.lit(n)).alias("salt")
+
+
 def _text_shards(spark, d):
+    """The folder and the lines in each part of a shard; parts are ranges of the shard's lines."""
     base = A.scratch_dir(spark, "text-shards")
     doc = table(spark, d, "documents", "doc_id", "text")
     lines = doc.select((F.col("doc_id") % 8).cast("int").alias("shard"), "doc_id", F.regexp_replace("text", "\n", " ").alias("value"))
-    lines.repartition("shard").sortWithinPartitions("shard", "doc_id").select("shard", "value").write.partitionBy("shard").text(base)
-    return base
+    files = _n_files(lines, "value", 8)
+    per = max(1, math.ceil(lines.count() / 8 / files))
+    ranked = P.global_positions(lines, ["doc_id"], P.range_bucket(lines, "doc_id", files), rank_col="line", partition_by=["shard"], broadcast_offsets=False)
+    parts = ranked.withColumn("part", F.floor(F.col("line") / per))
+    parts.repartition("shard", "part").sortWithinPartitions("shard", "part", "line").select("shard", "part", "value").write.partitionBy("shard", "part").text(base)
+    return base, per
 
 
 @query("read_text_shards", """
 SELECT CAST(doc_id % 8 AS INTEGER) AS shard, CAST(row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS INTEGER) AS line_no,
        replace(text, chr(10), ' ') AS text FROM documents""")
 def q_read_text_shards(spark, d):
-    base = _text_shards(spark, d)
+    base, per = _text_shards(spark, d)
     r = A.read_text_shards(spark, base, "*.txt")
-    shard = F.regexp_extract("_p", r"shard=(\d+)", 1).cast("int")
-    return r.select(shard.alias("shard"), F.col("line_no").cast("int"), "text")
+    shard, part = (F.regexp_extract("_p", rf"{x}=(\d+)", 1) for x in ("shard", "part"))
+    return r.select(shard.cast("int").alias("shard"), (part.cast("bigint") * per + F.col("line_no")).cast("int").alias("line_no"), "text")
 
 
 @query("read_jsonl_text", "SELECT doc_id, text FROM documents")
@@ -46,11 +68,12 @@ def q_read_jsonl_text(spark, d):
 @query("read_wiki_json", "WITH " + Q.ARTICLES_CTE + f"""
 SELECT doc_id % 8 AS shard, {Q.title_of('text')} AS title FROM articles""")
 def q_read_wiki_json(spark, d):
-    """Articles grouped into one JSON array per shard file, read back; title = first line."""
+    """Articles grouped into one JSON array per file, several files a shard by size, read back; title = first line."""
     base = A.scratch_dir(spark, "wiki-json")
     a = articles_raw(spark, d).withColumn("shard", (F.col("doc_id") % 8).cast("bigint"))
-    g = a.groupBy("shard").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"])).alias("value"))
-    g.repartition("shard").write.partitionBy("shard").text(base)
+    g = a.groupBy("shard", _salt(_n_files(a, "text", 8), "doc_id", "text")).agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"])).alias("value"))
+    g.repartition("shard", "salt").write.partitionBy("shard", "salt").text(base)
     r = A.read_wiki_json(spark, base)
     return r.select(F.regexp_extract("file", r"shard=(\d+)", 1).cast("bigint").alias("shard"), F.substring_index("text", "\n", 1).alias("title"))
 
@@ -58,13 +81,13 @@ def q_read_wiki_json(spark, d):
 @query("read_dialog_json", """
 SELECT conv_id % 4 AS shard, turn, text AS utterance FROM conversations""")
 def q_read_dialog_json(spark, d):
-    """Dialogs (arrays of utterances) in one JSON array per shard file, read back."""
+    """Dialogs (arrays of utterances) in one JSON array per file, several files a shard by size, read back."""
     base = A.scratch_dir(spark, "dialog-json")
     c = table(spark, d, "conversations", "conv_id", "turn", "text")
     dia = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("u"))
-    g = dia.withColumn("shard", F.col("conv_id") % 4).groupBy("shard").agg(
+    g = dia.withColumn("shard", F.col("conv_id") % 4).groupBy("shard", _salt(_n_files(c, "text", 4), "conv_id")).agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "u"))), lambda s: s["u"])).alias("value"))
-    g.repartition("shard").write.partitionBy("shard").text(base)
+    g.repartition("shard", "salt").write.partitionBy("shard", "salt").text(base)
     r = A.read_dialog_json(spark, base)
     return r.select(F.regexp_extract("file", r"shard=(\d+)", 1).cast("bigint").alias("shard"), F.col("turn").cast("bigint"), "utterance")
 

@@ -83,3 +83,28 @@ def test_t5_samples_hold_every_token(spark):
     size = lambda c: F.size(F.split(c, " "))
     q = entry.queries()["t5_sentence_samples"](spark, SMALL)
     assert q.agg(F.sum(size("encoder_input") + size("decoder_output") - 1 - 2 * F.col("n_spans"))).first()[0] == n
+
+
+@pytest.mark.parametrize("name, shards", [("read_text_shards", 8), ("read_wiki_json", 8), ("read_dialog_json", 4)])
+def test_files_of_a_shard_follow_its_size(spark, monkeypatch, name, shards):
+    import glob
+
+    from corpuskit.plans import q_sources
+
+    key = lambda r: str(tuple(r))
+    want = sorted(map(key, entry.queries()[name](spark, SMALL).collect()))
+    folders, make = [], q_sources.A.scratch_dir
+    monkeypatch.setattr(q_sources.A, "scratch_dir", lambda *a: folders.append(make(*a)) or folders[-1])
+    monkeypatch.setattr(q_sources, "SHARD_BYTES", 2000, raising=False)
+    assert sorted(map(key, entry.queries()[name](spark, SMALL).collect())) == want
+    assert len(glob.glob(f"{folders[0].removeprefix('file:')}/**/*.txt", recursive=True)) > 2 * shards
+
+
+def test_cyclic_index_is_not_made_in_one_row(spark):
+    from corpuskit.operators import batching as J
+
+    for sharding in (True, False):
+        got = J.cyclic_batches(spark.range(1000), 64, 4, 8, 1, data_sharding=sharding)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range (0," in plan and "sequence(" not in plan
+        assert got.count() == got.select("idx").distinct().count() and got.agg(F.max("idx")).first()[0] < 1000
