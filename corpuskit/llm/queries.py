@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuskit.llm import decontam, embed_dedup, jaccard, line_dedup, lm, packing, quality, suffix_dedup, toxicity, warc
+from corpuskit.llm import decontam, embed_dedup, filter_audit, jaccard, line_dedup, lm, packing, quality, suffix_dedup, toxicity, warc
 from corpuskit.llm.common import table
 
 QUERIES: dict = {}
@@ -78,3 +78,11 @@ def op4_universe_jaccard_join(spark, sf_dir):
 def op7_prefix_doubling_dedup(spark, sf_dir):
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_filter_interaction_audit(spark, sf_dir):
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_interaction_audit"] = filter_audit.ORACLE
