@@ -25,6 +25,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -118,18 +119,24 @@ def document_term_shards(docs: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("words", T.LongType()), T.StructField("distinct", T.LongType())])))
-def _row_totals(indptr, counts):
-    def shard(ptr, values):
+def _row_totals(indptr, indices, counts):
+    """Per row the sum of its entries and its number of different global columns."""
+    def shard(ptr, columns, values):
         ptr = np.asarray(ptr, dtype=np.int64)
         total = np.concatenate([[0], np.cumsum(np.asarray(values, dtype=np.int64))])
-        return [{"words": int(w), "distinct": int(d)} for w, d in zip(np.diff(total[ptr]), np.diff(ptr))]
+        rows, columns = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), np.asarray(columns, dtype=np.int64)
+        at = np.lexsort((columns, rows))
+        first = np.ones(len(at), dtype=bool)
+        first[1:] = (np.diff(rows[at]) != 0) | (np.diff(columns[at]) != 0)
+        nonzero = np.bincount(rows[at[first]], minlength=len(ptr) - 1)
+        return [{"words": int(w), "distinct": int(d)} for w, d in zip(np.diff(total[ptr]), nonzero)]
 
-    return indptr.combine(counts, shard)
+    return pd.Series([shard(*x) for x in zip(indptr, indices, counts)])
 
 
 def document_flags(docs: DataFrame, min_words: int = 200, min_distinct: int = 50, max_upper: int = 2) -> DataFrame:
     """``(doc_id, part, digest, words, distinct, a, b, c, d)`` of every row, A and B from its row of the matrix."""
-    shards = document_term_shards(docs).withColumn("m", _row_totals("indptr", "counts"))
+    shards = written(document_term_shards(docs), "csr").withColumn("m", _row_totals("indptr", "indices", "counts"))
     cells = F.explode(F.arrays_zip("doc_id", "part", "digest", "c", "d", "m")).alias("r")
     r = shards.select(cells).select("r.doc_id", "r.part", "r.digest", "r.m.words", "r.m.distinct", "r.c", "r.d")
     return r.select("doc_id", "part", "digest", "words", "distinct", (F.col("words") < min_words).alias("a"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuskit.llm import decontam, embed_dedup, filter_audit, jaccard, line_dedup, lm, packing, quality, suffix_dedup, toxicity, warc
+from corpuskit.llm import conv_trie, decontam, embed_dedup, filter_audit, jaccard, line_dedup, lm, packing, quality, secret_scan, suffix_dedup, toxicity, warc
 from corpuskit.llm.common import table
 
 QUERIES: dict = {}
@@ -86,3 +86,16 @@ def op13_filter_interaction_audit(spark, sf_dir):
 
 
 ORACLES["op13_filter_interaction_audit"] = filter_audit.ORACLE
+
+
+@query
+def op12_secret_entropy_scan(spark, sf_dir):
+    return secret_scan.digest_columns(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_conversation_trie(spark, sf_dir):
+    return conv_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_conversation_trie"] = conv_trie.ORACLE
