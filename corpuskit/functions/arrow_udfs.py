@@ -30,39 +30,6 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def wordpiece_fn(vocab_bc, unk: str = "[UNK]", max_chars: int = 200):
-    """Word pieces (``##`` marks a continuation), at each place the longest known one; a word
-    with a place that no piece fits, or of more than ``max_chars`` characters, is ``unk``.
-    ``vocab_bc`` is a broadcast set of pieces; they are looked up by first character, longest first."""
-    from itertools import groupby
-
-    from pyspark.sql.types import ArrayType, StringType
-
-    def by_first(pieces):
-        ordered = sorted((p for p in pieces if p), key=lambda p: (p[0], -len(p)))
-        return {first: tuple(own) for first, own in groupby(ordered, key=lambda p: p[0])}
-
-    def split(word, heads, tails):
-        if word is None:
-            return None
-        found, rest, known = [], word if len(word) <= max_chars else "", heads
-        while rest:
-            fit = next((p for p in known.get(rest[0], ()) if rest.startswith(p)), None)
-            if fit is None:
-                return [unk]
-            found.append(fit if known is heads else "##" + fit)
-            rest, known = rest[len(fit):], tails
-        return found or ([unk] if word else [])
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def wordpiece(words: pd.Series) -> pd.Series:
-        pieces = vocab_bc.value
-        heads, tails = by_first(pieces), by_first(p[2:] for p in pieces if p.startswith("##"))
-        return words.apply(lambda w: split(w, heads, tails))
-
-    return wordpiece
-
-
 def _bytes_to_unicode():
     """Byte -> printable character map of byte-level BPE, built by rule: printable
     Latin-1 bytes map to themselves, the other 68 bytes to code points from 256 up."""

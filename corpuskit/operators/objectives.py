@@ -1,4 +1,4 @@
-"""Training objectives as data transforms.
+"""Training objectives as data transforms (F9-F25; masking is in ``masking``).
 
 Noise masks and their conversions run in *long form*: one row per token
 ``(keys, pos, token, noise)``.  Runs of noise are gaps-and-islands (``lag`` and a
@@ -139,48 +139,6 @@ def permute_noise(long: DataFrame, keys: list[str], seed: int) -> DataFrame:
     return _regroup(j, keys, F.coalesce(F.col("_t"), F.col("token")), F.lit(True), "inputs")
 
 
-# --- masked-LM helpers -------------------------------------------------------
-
-def mlm_budget(n_tokens: Column, p: float, max_predictions: int) -> Column:
-    """``min(max_predictions, max(1, round_half_even(p * n)))``."""
-    return F.least(F.lit(max_predictions), F.greatest(F.lit(1), F.bround(n_tokens * F.lit(p), 0))).cast("int")
-
-
-def mlm_candidates(long: DataFrame, keys: list[str], pieces: str = "piece") -> DataFrame:
-    """whole-word groups: a ``##`` piece joins the previous group; CLS/SEP are not candidates."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    special = F.col("token").isin(S.CLS, S.SEP)
-    starts = (~F.col(pieces).startswith("##") | special).cast("int")
-    d = long.withColumn("_s", starts)
-    d = d.withColumn("word", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return d.withColumn("candidate", ~special).withColumn("token_boundary", F.col("_s") == 1).drop("_s")
-
-
-def mlm_replace(long: DataFrame, keys: list[str], seed: int, vocab_size: int, style: str = "bert") -> DataFrame:
-    """masked positions: 80 % [MASK], 10 % kept, 10 % random id (``bert``); always [MASK] (``t5``)."""
-    u = H.u(seed, *keys, "pos", F.lit("rep")) % 10
-    rnd = (F.lit(S.FIRST_WORD_ID) + H.u(seed, *keys, "pos", F.lit("rid")) % F.lit(max(1, vocab_size - S.FIRST_WORD_ID))).cast("int")
-    if style == "t5":
-        new = F.lit(S.MASK)
-    else:
-        new = F.when(u < 8, F.lit(S.MASK)).when(u < 9, F.col("token")).otherwise(rnd)
-    return long.withColumn("masked_token", F.when(F.col("masked"), new).otherwise(F.col("token")))
-
-
-def mlm_pad(df: DataFrame, tokens: str, types: str, positions: str, labels: str, max_len: int, ignore: int = -1) -> DataFrame:
-    """pad tokens and types to ``max_len``; padding mask; labels ``ignore`` except at masked positions; loss mask."""
-    n = F.size(tokens)
-    padn = F.greatest(F.lit(max_len) - n, F.lit(0))
-    lab = F.transform(F.sequence(F.lit(0), F.lit(max_len - 1)),
-                      lambda i: F.coalesce(F.element_at(F.map_from_arrays(F.col(positions), F.col(labels)), i), F.lit(ignore)))
-    return df.select("*",
-                     F.concat(F.col(tokens), F.array_repeat(F.lit(S.PAD), padn)).alias("tokens_np"),
-                     F.concat(F.col(types), F.array_repeat(F.lit(S.PAD), padn)).alias("tokentypes_np"),
-                     F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), padn)).alias("padding_mask_np"),
-                     lab.alias("labels_np"),
-                     F.transform(lab, lambda x: (x != ignore).cast("int")).alias("loss_mask_np"))
-
-
 # --- T5 token preprocessors ---------------------------------------------------
 
 def random_chunk(df: DataFrame, keys: list[str], tokens: str, max_length: int, seed: int) -> DataFrame:
@@ -287,120 +245,3 @@ def evidence_tokens(df: DataFrame, max_len: int, text: str = "text_tokens", titl
     padn = F.greatest(F.lit(max_len) - F.size(t), F.lit(0))
     return df.select("*", F.concat(t, F.array_repeat(F.lit(S.PAD), padn)).alias("evidence_tokens"),
                      F.concat(F.array_repeat(F.lit(1), F.size(t)), F.array_repeat(F.lit(0), padn)).alias("evidence_pad_mask"))
-
-
-# --- masked LM and T5 span samples as per-sample array programs (F3, F5, F7, F8) ---
-
-def _ngram_len(u: Column, max_ngrams: int = 3) -> Column:
-    """n in 1..max_ngrams with p proportional to 1/n (hash draw)."""
-    w = [1.0 / n for n in range(1, max_ngrams + 1)]
-    tot = sum(w)
-    cum, acc = [], 0.0
-    for x in w:
-        acc += x
-        cum.append(acc / tot)
-    r = (u % 1000000) / F.lit(1000000.0)
-    out = F.lit(max_ngrams)
-    for n in range(max_ngrams - 1, 0, -1):
-        out = F.when(r < cum[n - 1], F.lit(n)).otherwise(out)
-    return out
-
-
-def _geometric_len(u: Column, p: float = 0.2, cap: int = 10) -> Column:
-    """Geometric(p) span length on {1, 2, ...}, capped (hash draw)."""
-    r = (u % 1000000 + F.lit(0.5)) / F.lit(1000000.0)
-    return F.least(F.lit(cap), F.floor(F.log(r) / F.lit(float(__import__("math").log(1 - p)))) + 1).cast("int")
-
-
-def select_spans(tokens: str, key: Column, seed, budget: Column, length_fn, exclude: Column | None = None,
-                 salt: str = "m") -> Column:
-    """F3 core: visit candidate starts in hash order; draw a span length; shrink it to the
-    remaining budget; skip it if it overlaps a chosen position or touches CLS/SEP/PAD.
-    Returns the sorted array of chosen positions (0-based).
-
-    Everything random or per-sample (visit order with drawn lengths, special flags,
-    budget) is computed once in the accumulator's initial value, so the per-step
-    lambda is plain arithmetic; ``aggregate`` visits each candidate once, no shuffle.
-    """
-    t = F.col(tokens)
-    n = F.size(t)
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(
-        H.u(seed, key, F.lit(salt), i).alias("h"), i.alias("i"), length_fn(H.u(seed, key, F.lit(salt + "len"), i)).alias("l"))))
-    order = F.when(n > 0, order).otherwise(F.array().cast("array<struct<h:bigint,i:int,l:int>>"))
-    sp = F.transform(t, lambda x: x.isin(S.CLS, S.SEP, S.PAD))
-    excl = exclude if exclude is not None else F.array().cast("array<int>")
-    init = F.struct(F.array().cast("array<int>").alias("cov"), F.lit(0).alias("cnt"), budget.cast("int").alias("b"),
-                    sp.alias("sp"), excl.alias("ex"), n.alias("n"))
-
-    def step(acc, x):
-        ln = F.least(x["l"], acc["b"] - acc["cnt"], acc["n"] - x["i"])
-        span = F.when(ln > 0, F.sequence(x["i"], x["i"] + ln - 1)).otherwise(F.array().cast("array<int>"))
-        bad = (ln <= 0) | F.arrays_overlap(span, acc["cov"]) | F.arrays_overlap(span, acc["ex"]) | \
-            F.exists(span, lambda p: F.element_at(acc["sp"], p + 1))
-        return F.when(bad, acc).otherwise(F.struct(F.concat(acc["cov"], span).alias("cov"), (acc["cnt"] + ln).alias("cnt"),
-                                                   acc["b"].alias("b"), acc["sp"].alias("sp"), acc["ex"].alias("ex"), acc["n"].alias("n")))
-
-    return F.array_sort(F.aggregate(order, init, step)["cov"])
-
-
-def mlm_mask(df: DataFrame, tokens: str, key: Column, seed: int, p: float = 0.15, max_predictions: int = 20,
-             max_ngrams: int = 3) -> DataFrame:
-    """masked positions (whole-word n-grams, p proportional to 1/n) within the F2 budget."""
-    budget = mlm_budget(F.size(F.filter(tokens, lambda x: ~x.isin(S.CLS, S.SEP, S.PAD))), p, max_predictions)
-    return df.withColumn("mask_budget", budget).withColumn(
-        "masked_positions", select_spans(tokens, key, seed, F.col("mask_budget"), lambda u: _ngram_len(u, max_ngrams)))
-
-
-def mlm_apply(df: DataFrame, tokens: str, key: Column, seed: int, vocab_size: int, style: str = "bert") -> DataFrame:
-    """F4 on arrays: replace masked positions (80/10/10 for ``bert``, always MASK for ``t5``); labels."""
-    pos = F.col("masked_positions")
-
-    def repl(t, i):
-        u = H.u(seed, key, F.lit("rep"), i) % 10
-        rnd = (F.lit(S.FIRST_WORD_ID) + H.u(seed, key, F.lit("rid"), i) % F.lit(max(1, vocab_size - S.FIRST_WORD_ID))).cast("int")
-        new = F.lit(S.MASK) if style == "t5" else F.when(u < 8, F.lit(S.MASK)).when(u < 9, t).otherwise(rnd)
-        return F.when(F.array_contains(pos, i), new).otherwise(t)
-
-    return df.withColumn("masked_labels", F.transform(pos, lambda p: F.element_at(F.col(tokens), p + 1))) \
-        .withColumn("masked_tokens", F.transform(tokens, repl))
-
-
-def mlm_permute(df: DataFrame, tokens: str, key: Column, seed: int, p: float = 0.15, max_predictions: int = 20) -> DataFrame:
-    """a second selection, disjoint from the masked positions, whose tokens are permuted among themselves."""
-    budget = mlm_budget(F.size(F.filter(tokens, lambda x: ~x.isin(S.CLS, S.SEP, S.PAD))), p, max_predictions)
-    sel = select_spans(tokens, key, seed, budget, lambda u: _ngram_len(u, 3), exclude=F.col("masked_positions"), salt="perm")
-    d = df.withColumn("permuted_positions", sel)
-    src = F.transform(F.array_sort(F.transform("permuted_positions", lambda q: F.struct(H.u(seed, key, F.lit("pp"), q).alias("h"), q.alias("q")))),
-                      lambda s: s["q"])
-    d = d.withColumn("_src", src)
-    base = "masked_tokens" if "masked_tokens" in d.columns else tokens
-
-    def put(t, i):
-        k = F.array_position(F.col("permuted_positions"), i)
-        return F.when(k > 0, F.element_at(F.col(tokens), F.element_at(F.col("_src"), k.cast("int")) + 1)).otherwise(t)
-
-    return d.withColumn("permuted_tokens", F.transform(base, put)).drop("_src")
-
-
-def t5_sentence_samples(df: DataFrame, tokens: str, key: Column, seed: int, max_len: int, density: float = 0.15,
-                        n_sentinels: int = S.N_SENTINELS) -> DataFrame:
-    """F8: truncate, choose spans (geometric(0.2) lengths capped at 10) up to ``density`` of the
-    tokens, replace each span by the next sentinel in the encoder input; decoder input =
-    BOS + (sentinel, span)..., decoder output = (sentinel, span)... + EOS.  More spans than
-    sentinels raises."""
-    d = df.withColumn("_t", F.slice(tokens, 1, max_len))
-    budget = F.greatest(F.lit(1), F.bround(F.size("_t") * F.lit(density), 0).cast("int"))
-    d = d.withColumn("_pos", select_spans("_t", key, seed, budget, lambda u: _geometric_len(u), salt="t5"))
-    starts = F.filter("_pos", lambda p: ~F.array_contains(F.col("_pos"), p - 1))
-    d = d.withColumn("_starts", starts)
-    d = d.withColumn("n_spans", F.size("_starts"))
-    d = d.withColumn("n_spans", F.when(F.col("n_spans") > n_sentinels, F.raise_error(F.lit("more spans than sentinels"))).otherwise(F.col("n_spans")))
-    sentinel = lambda j: (F.lit(S.SENTINEL_TOP) - j).cast("int")
-    enc = F.flatten(F.transform("_t", lambda t, i: F.when(F.array_contains(F.col("_starts"), i),
-                                                           F.array(sentinel(F.array_position(F.col("_starts"), i) - 1)))
-                                .when(F.array_contains(F.col("_pos"), i), F.array().cast("array<int>")).otherwise(F.array(t))))
-    dec = F.flatten(F.transform("_pos", lambda p: F.when(F.array_contains(F.col("_starts"), p),
-                                                        F.array(sentinel(F.array_position(F.col("_starts"), p) - 1), F.element_at(F.col("_t"), p + 1)))
-                                .otherwise(F.array(F.element_at(F.col("_t"), p + 1)))))
-    return d.withColumn("encoder_input", enc).withColumn("decoder_input", F.concat(F.array(F.lit(S.BOS)), dec)) \
-        .withColumn("decoder_output", F.concat(dec, F.array(F.lit(S.EOD)))).drop("_t", "_pos", "_starts")

@@ -211,12 +211,12 @@ def segment_pair(blocks: DataFrame, seed: int, key: Column, sents: str = "sents"
         F.when(swap, F.col("_a")).otherwise(F.col("_b")).alias("tokens_b"), swap.alias("is_random")).drop("_a", "_b")
 
 
-def truncated_lengths(la: Column, lb: Column, max_len: int):
-    """E9 final lengths (RNG-free): remove from the longer side, ties from B."""
+def truncated_lengths(la: Column, lb: Column, max_len: int | Column):
+    """E9 final lengths (RNG-free): remove from the longer side, ties from B; ``max_len`` may be a block's target."""
     total = la + lb
     excess = total - max_len
     diff = F.abs(la - lb)
-    m = F.lit(max_len)
+    m = max_len if isinstance(max_len, Column) else F.lit(max_len)
     fa = F.when(excess <= 0, la).when(diff >= excess, F.when(la > lb, la - excess).otherwise(la)).otherwise(F.ceil(m / 2))
     fb = F.when(excess <= 0, lb).when(diff >= excess, F.when(la > lb, lb).otherwise(lb - excess)).otherwise(F.floor(m / 2))
     return fa.cast("int"), fb.cast("int")
@@ -228,7 +228,7 @@ def _front_cut(seed, key: Column, side: str, removed: Column) -> Column:
                        lambda acc, j: acc + F.when(removed > 0, (H.u(seed, key, F.lit(side), j) % 2).cast("int")).otherwise(0))
 
 
-def truncate_pair(df: DataFrame, seed: int, key: Column, max_len: int, a: str = "tokens_a", b: str = "tokens_b") -> DataFrame:
+def truncate_pair(df: DataFrame, seed: int, key: Column, max_len: int | Column, a: str = "tokens_a", b: str = "tokens_b") -> DataFrame:
     """Truncate A/B to ``max_len`` together; each removal from front or back with p = .5."""
     la, lb = F.size(a), F.size(b)
     fa, fb = truncated_lengths(la, lb, max_len)

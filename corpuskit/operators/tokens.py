@@ -216,9 +216,6 @@ def doc_index(tok: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 
-MAX_WORDPIECE_VOCAB = 1_000_000
-
-
 def wordpiece_vocab(counts: DataFrame, size: int = 30000) -> DataFrame:
     """Piece vocabulary ``(piece)``: every character (alone and as ``##c``) plus the ``size``
     most frequent words (a top-k by count, ties by word)."""
@@ -228,16 +225,29 @@ def wordpiece_vocab(counts: DataFrame, size: int = 30000) -> DataFrame:
     return pieces.unionByName(top).distinct()
 
 
-def wordpiece_encode(words: DataFrame, pieces: DataFrame, word: str = "word") -> DataFrame:
-    """Every *distinct* word encoded once (Arrow UDF, greedy longest match against a
-    broadcast piece set whose size is checked), joined back to the word rows."""
-    from corpuskit.functions.arrow_udfs import wordpiece_fn
+def wordpiece_encode(words: DataFrame, pieces: DataFrame, word: str = "word", unk: str = "[UNK]", max_chars: int = 200) -> DataFrame:
+    """Adds ``pieces``, at each place of a word the longest known piece (``##`` marks a continuation).
 
-    spark = words.sparkSession
-    n = pieces.count()
-    if n > MAX_WORDPIECE_VOCAB:
-        raise ValueError(f"piece vocabulary of {n} entries is too large to broadcast")
-    vocab = spark.sparkContext.broadcast({r[0] for r in pieces.select("piece").toLocalIterator()})
-    distinct = words.select(word).distinct()
-    enc = distinct.select(word, wordpiece_fn(vocab)(F.col(word)).alias("pieces"))
+    A word with a place that no piece fits, or of more than ``max_chars`` characters, is ``unk``.
+    Every *distinct* word's substrings (no longer than the longest piece) meet the piece table in a join, which
+    Spark broadcasts or shuffles by its size; the longest per place are the steps of a walk over the word.
+    """
+    longest = pieces.agg(F.max(F.length(F.regexp_replace("piece", "^##", "")))).first()[0] or 1
+    distinct = words.select(word).filter(F.col(word).isNotNull()).distinct().withColumn("_n", F.length(word))
+    at = distinct.filter(F.col("_n").between(1, max_chars)).select(word, "_n", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_s"))
+    sub = at.select(word, "_s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("_n") - F.col("_s") + 1))).alias("_l"))
+    text = F.col(word).substr(F.col("_s"), F.col("_l"))
+    known = sub.withColumn("piece", F.when(F.col("_s") > 1, F.concat(F.lit("##"), text)).otherwise(text)).join(pieces.select("piece"), "piece", "left_semi")
+    steps = known.groupBy(word, "_s").agg(F.max("_l").alias("_l")).groupBy(word).agg(F.map_from_entries(F.collect_list(F.struct("_s", "_l"))).alias("_m"))
+    none = F.array().cast("array<struct<s:int,l:int>>")
+
+    def step(acc, s):
+        n = F.try_element_at(acc["m"], s)
+        on = F.struct((s + n).alias("next"), acc["m"].alias("m"), F.concat(acc["cuts"], F.array(F.struct(s.alias("s"), n.alias("l")))).alias("cuts"))
+        return F.when((acc["next"] == s) & n.isNotNull(), on).otherwise(acc)
+
+    walked = distinct.join(steps, word, "left").withColumn("_w", F.when(F.col("_m").isNotNull(), F.aggregate(
+        F.sequence(F.lit(1), F.col("_n")), F.struct(F.lit(1).alias("next"), F.col("_m").alias("m"), none.alias("cuts")), step)))
+    cut = F.transform("_w.cuts", lambda c: F.concat(F.when(c["s"] > 1, F.lit("##")).otherwise(F.lit("")), F.col(word).substr(c["s"], c["l"])))
+    enc = walked.select(word, F.when(F.col("_w.next") == F.col("_n") + 1, cut).when(F.col("_n") == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(unk))).alias("pieces"))
     return words.join(enc, word, "left")

@@ -120,13 +120,6 @@ def q_permute_noise(spark, d):
     return _strs(O.permute_noise(iid(spark, d), KEYS, SEED), "inputs")
 
 
-@query("mlm_budget", DOC_TOK + """
-SELECT doc_id, sent_pos, CAST(least(20, greatest(1, round_even(0.15 * len(tokens), 0))) AS INTEGER) AS budget FROM tok""")
-def q_mlm_budget(spark, d):
-    t = token_table(spark, d)
-    return t.select(*KEYS, O.mlm_budget(F.size("tokens"), 0.15, 20).alias("budget"))
-
-
 @query("random_chunk", DOC_TOK + f"""
 , c AS (SELECT doc_id, sent_pos, tokens, ({sql_u(SEED, 'doc_id', 'sent_pos')} % greatest(CAST(ceil(len(tokens) / 8.0) AS BIGINT), 1)) * 8 AS st FROM tok)
 SELECT doc_id, sent_pos, {Q.arr_str('tokens[st + 1 : st + 8]')} AS tokens FROM c""")

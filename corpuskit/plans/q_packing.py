@@ -156,8 +156,9 @@ def q_segment_pair(spark, d):
 TRUNC = MAX_LEN - 3
 
 
-def _trunc_sql() -> str:
-    la, lb, m = "len(ta)", "len(tb)", TRUNC
+def trunc_sql(m=TRUNC) -> str:
+    """CTEs of E9 over ``pr``; ``m`` is a number or a column of it."""
+    la, lb = "len(ta)", "len(tb)"
     ex = f"({la} + {lb} - {m})"
     fa = f"(CASE WHEN {ex} <= 0 THEN {la} WHEN abs({la} - {lb}) >= {ex} THEN (CASE WHEN {la} > {lb} THEN {la} - {ex} ELSE {la} END) ELSE CAST(ceil({m} / 2.0) AS BIGINT) END)"
     fb = f"(CASE WHEN {ex} <= 0 THEN {lb} WHEN abs({la} - {lb}) >= {ex} THEN (CASE WHEN {la} > {lb} THEN {lb} ELSE {lb} - {ex} END) ELSE CAST(floor({m} / 2.0) AS BIGINT) END)"
@@ -173,7 +174,7 @@ tr AS (SELECT doc_id, block, key, is_random, ta[ca + 1 : ca + fa] AS ta, tb[cb +
 """
 
 
-@query("truncate_pair", PAIRS_SQL + _trunc_sql() + f"""
+@query("truncate_pair", PAIRS_SQL + trunc_sql() + f"""
 SELECT doc_id, block, CAST(len(ta) AS INTEGER) AS len_a, CAST(len(tb) AS INTEGER) AS len_b,
        {Q.arr_str('ta')} AS tokens_a, {Q.arr_str('tb')} AS tokens_b FROM tr
 """)
@@ -183,7 +184,7 @@ def q_truncate_pair(spark, d):
                     arr_str("tokens_a").alias("tokens_a"), arr_str("tokens_b").alias("tokens_b"))
 
 
-@query("tokens_and_types", PAIRS_SQL + _trunc_sql() + f"""
+@query("tokens_and_types", PAIRS_SQL + trunc_sql() + f"""
 SELECT doc_id, block, {Q.arr_str('[3] || ta || [4] || tb || [4]')} AS tokens,
        {Q.arr_str('list_transform(range(len(ta) + 2), lambda x: 0) || list_transform(range(len(tb) + 1), lambda x: 1)')} AS tokentypes
 FROM tr

@@ -213,14 +213,3 @@ def q_trim_padding(spark, d):
     t = token_table(spark, d)
     padded = F.concat("tokens", F.array_repeat(F.lit(S.PAD), 8))
     return t.select("doc_id", "sent_pos", arr_str(T.trim_padding(padded, S.PAD)).alias("tokens"))
-
-
-@query("wordpiece_encode")
-def q_wordpiece_encode(spark, d):
-    """Distinct words of the corpus as word pieces (rows-only; round trip tested)."""
-    docs = table(spark, d, "documents", "doc_id", "text")
-    counts = K.word_counts(docs)
-    pieces = K.wordpiece_vocab(counts, 2000)
-    w = counts.select("word")
-    e = K.wordpiece_encode(w, pieces)
-    return e.select("word", F.array_join("pieces", " ").alias("pieces"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
+from corpuskit.operators import masking as M
 from corpuskit.operators import packing as E
 from corpuskit.operators import objectives as O
 from corpuskit.operators import reports as K
@@ -81,7 +82,8 @@ def test_truncated_lengths(spark):
 
 def test_mlm_budget(spark):
     df = spark.createDataFrame([(3,), (10,), (20,), (30,)], "n int")
-    assert [r[0] for r in df.select(O.mlm_budget(F.col("n"), 0.15, 100)).collect()] == [1, 2, 3, 4]
+    assert [r[0] for r in df.select(M.mlm_budget(F.col("n"), 0.15, 100)).collect()] == [1, 2, 3, 4]
+    assert [r[0] for r in df.select(M.mlm_budget(F.col("n"), 0.15, 14.0)).collect()] == [1, 2, 2, 2]
 
 
 def test_span_lengths():

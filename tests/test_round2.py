@@ -56,18 +56,20 @@ def test_category_lines_with_carriage_returns_stay(spark):
 
 
 def test_word_pieces_and_lcs(spark):
-    class Shared:
-        value = {"un", "##aff", "##able", "##a", "a", "##ff", "able"}
+    from corpuskit.operators import tokens as K
 
-    fn = arrow_udfs.wordpiece_fn(Shared())
-    assert fn.func(pd.Series(["unaffable", "able", "unx", "a" * 300, None, "affa"])).tolist()[:4] == [["un", "##aff", "##able"], ["able"], ["[UNK]"], ["[UNK]"]]
+    pieces = spark.createDataFrame([(p,) for p in ("un", "##aff", "##able", "##a", "a", "##ff", "able")], "piece string")
+    words = spark.createDataFrame([("unaffable",), ("able",), ("unx",), ("a" * 300,), (None,), ("affa",), ("",), ("able",)], "word string")
+    got = K.wordpiece_encode(words, pieces).collect()
+    assert len(got) == 8 and {r["word"]: r["pieces"] for r in got} == {"unaffable": ["un", "##aff", "##able"], "able": ["able"], "unx": ["[UNK]"], "a" * 300: ["[UNK]"],
+                                                                     None: None, "affa": ["a", "##ff", "##a"], "": []}
     assert arrow_udfs._lcs("the cat sat on".split(), "cat the sat the on".split()) == 3
     assert arrow_udfs._lcs([], ["a"]) == 0 and arrow_udfs._lcs(list("abcbdab"), list("bdcaba")) == 4
 
 
 def test_t5_samples_hold_every_token(spark):
     from corpuskit.plans import q_mlm
-    from corpuskit.plans.q_tokens import token_table
+    from corpuskit.operators.masking import piece_table
 
     sizes = {1: [3], 2: [600, 5], 3: [100, 100, 100, 7], 4: [40] * 20, 5: [128, 128], 6: [1000]}
     rows = [(k, p, list(range(k * 10_000 + p * 1_000, k * 10_000 + p * 1_000 + n))) for k, v in sizes.items() for p, n in enumerate(v)]
@@ -79,7 +81,8 @@ def test_t5_samples_hold_every_token(spark):
     assert got == {k: [t for d, _, ts in rows if d == k for t in ts] for k in sizes}
 
     # a sample's source = its inputs without sentinels + its targets without sentinels and EOS
-    n = token_table(spark, SMALL).agg(F.sum(F.size("tokens"))).first()[0]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    n = piece_table(docs, q_mlm.PIECES)[0].agg(F.sum(F.size("tokens"))).first()[0]
     size = lambda c: F.size(F.split(c, " "))
     q = entry.queries()["t5_sentence_samples"](spark, SMALL)
     assert q.agg(F.sum(size("encoder_input") + size("decoder_output") - 1 - 2 * F.col("n_spans"))).first()[0] == n
