@@ -6,7 +6,7 @@ real types.
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 
 def _lcs(x, y) -> int:
@@ -53,37 +53,28 @@ def byte_map(pieces: pd.Series) -> pd.Series:
     return pieces.apply(lambda s: None if s is None else "".join(_BYTE_MAP[b] for b in s.encode("utf-8")))
 
 
-def bpe_apply_fn(ranks_bc):
-    """Apply merges lowest rank first until none applies (per distinct piece)."""
-    from pyspark.sql.types import ArrayType, StringType
-
-    def encode(word):
-        if word is None:
-            return None
-        ranks = ranks_bc.value
-        syms = list(word)
-        while len(syms) > 1:
-            best, bi = None, -1
-            for i in range(len(syms) - 1):
-                r = ranks.get((syms[i], syms[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, bi = r, i
-            if best is None:
-                break
-            a, b = syms[bi], syms[bi + 1]
-            merged, i = [], 0
-            while i < len(syms):
-                if i < len(syms) - 1 and syms[i] == a and syms[i + 1] == b:
-                    merged.append(a + b)
-                    i += 2
-                else:
-                    merged.append(syms[i])
-                    i += 1
-            syms = merged
-        return syms
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def bpe(words: pd.Series) -> pd.Series:
-        return words.apply(encode)
-
-    return bpe
+def _bpe(piece, left, right):
+    """Merges listed by rank, lowest first, until none applies."""
+    syms = list(piece)
+    ranks = {pair: r for r, pair in reversed(list(enumerate(zip(left, right))))} if left is not None else {}
+    while len(syms) > 1:
+        best = min((ranks.get(p, len(ranks)) for p in zip(syms, syms[1:])), default=len(ranks))
+        if best == len(ranks):
+            break
+        a, b = left[best], right[best]
+        out, i = [], 0
+        while i < len(syms):
+            if i + 1 < len(syms) and syms[i] == a and syms[i + 1] == b:
+                out.append(a + b)
+                i += 2
+            else:
+                out.append(syms[i])
+                i += 1
+        syms = out
+    return syms
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def bpe_apply(pieces: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+    """Symbols of each piece by its own list of merges in rank order."""
+    return pd.Series([None if p is None else _bpe(p, l, r) for p, l, r in zip(pieces, left, right)], dtype=object)
