@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskit.session import written
+
 MAX_BUCKETS = 1 << 16
 
 
@@ -98,3 +100,44 @@ def total(df: DataFrame, name: str = "_total", expr: Column | None = None) -> Da
     """One-row DataFrame holding a count (or sum); cross-joined as a scalar."""
     e = F.count(F.lit(1)) if expr is None else expr
     return df.agg(e.cast("bigint").alias(name))
+
+
+# --- associative scans ---------------------------------------------------------
+
+def _added(a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+
+
+#: How the scan of earlier ranges and the scan inside a range combine, by kind.
+SCANS = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, _added)}
+
+
+def ranges(df: DataFrame, partition_by: list[str], order: list[str], n_ranges: int | None = None) -> DataFrame:
+    """``df`` with ``_range``, range buckets of (group, order), written: both levels of a scan must see the same cuts.
+
+    A group of very many rows spans many ranges, and a range may hold many small groups.
+    """
+    n = n_ranges or default_buckets(df.sparkSession)
+    return written(df.repartitionByRange(n, *partition_by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def scan(df: DataFrame, partition_by: list[str], order: list[str], out: dict[str, tuple[str, Column]], exclusive: bool = False) -> DataFrame:
+    """Prefix aggregates per group in ``order``; ``out`` maps a name to (``max`` / ``min`` / ``sum``, column). Needs ``ranges``.
+
+    Any associative aggregate scans in two levels: one row per group and range, a window over those
+    few rows, and a window inside each range, so one group is scanned by as many tasks as it has ranges.
+    A segmented scan is a ``max`` of the positions at which segments start.
+    """
+    pb = list(partition_by)
+    d = df.withColumns({f"_x_{n}": c for n, (_, c) in out.items()})
+    per = d.groupBy(*pb, "_range").agg(*[SCANS[kind][0](f"_x_{n}").alias(f"_t_{n}") for n, (kind, _) in out.items()])
+    earlier = Window.partitionBy(*pb).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select(*pb, "_range", *[SCANS[kind][0](f"_t_{n}").over(earlier).alias(f"_o_{n}") for n, (kind, _) in out.items()])
+    inside = Window.partitionBy(*pb, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    null_safe = [d[c].eqNullSafe(before[c]) for c in (*pb, "_range")]
+    cond = null_safe[0]
+    for c in null_safe[1:]:
+        cond = cond & c
+    j = d.join(before, cond, "left").drop(*[before[c] for c in (*pb, "_range")])
+    j = j.withColumns({n: SCANS[kind][1](F.col(f"_o_{n}"), SCANS[kind][0](f"_x_{n}").over(inside)) for n, (kind, _) in out.items()})
+    return j.drop(*[f"_{p}_{n}" for n in out for p in "xo"])

@@ -1,7 +1,7 @@
 """Reports over many runs (K1-K11): unions, best rows, running best, patience.
 
-Per-run windows are partitioned by run (a run is a bounded log); global
-"best" rows use ``max_by``-style ``row_number`` inside a group.
+What depends on the evaluations before (running best, patience) is a scan over ranges of
+each run; "best" rows use ``row_number`` inside a group.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskit.functions import prefix as P
+
 RUN_RE = r"^(.*)/run_(\d+)"
 
 
@@ -63,21 +65,28 @@ def replicas_disagree(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.countDistinct(metric).alias("n_values")).filter(F.col("n_values") > 1)
 
 
-def running_best(df: DataFrame, run: str, order: list[str], metric: str, mode: str = "max") -> DataFrame:
-    """K9: best metric before this evaluation, and whether this one improves on it."""
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max(metric).over(w) if mode == "max" else F.min(metric).over(w)
+def running_best(df: DataFrame, run: str, order: list[str], metric: str, mode: str = "max", n_ranges: int | None = None, keep_ranges: bool = False) -> DataFrame:
+    """K9: best metric before this evaluation, and whether this one improves on it.
+
+    A scan over ranges of each run, so a run with very many evaluations is spread over tasks;
+    ``keep_ranges`` leaves the column ``_range`` for ``patience``.
+    """
+    d = P.scan(P.ranges(df, [run], order, n_ranges), [run], order, {"best_before": (mode, F.col(metric))}, exclusive=True)
     better = F.col(metric) > F.col("best_before") if mode == "max" else F.col(metric) < F.col("best_before")
-    d = df.withColumn("best_before", prev)
-    return d.withColumn("improved", F.col("best_before").isNull() | better)
+    d = d.withColumn("improved", F.col("best_before").isNull() | better)
+    return d if keep_ranges else d.drop("_range")
+
 
+def patience(df: DataFrame, run: str, order: list[str], patience_n: int, n_ranges: int | None = None) -> DataFrame:
+    """Evaluations since the last improvement; ``stop`` when it exceeds ``patience_n``.
 
-def patience(df: DataFrame, run: str, order: list[str], patience_n: int) -> DataFrame:
-    """Evaluations since the last improvement; ``stop`` when it exceeds ``patience_n``."""
-    w = Window.partitionBy(run).orderBy(*order)
-    d = df.withColumn("_g", F.sum(F.col("improved").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("since_improvement", (F.row_number().over(Window.partitionBy(run, "_g").orderBy(*order)) - 1).cast("int"))
-    return d.withColumn("stop", F.col("since_improvement") > patience_n).drop("_g")
+    The count restarts at an improvement: the position minus the largest position so far that improved.
+    """
+    d = df if "_range" in df.columns else P.ranges(df, [run], order, n_ranges)
+    d = P.scan(d, [run], order, {"_at": ("sum", F.lit(1))})
+    d = P.scan(d, [run], order, {"_last": ("max", F.when(F.col("improved"), F.col("_at")))})
+    d = d.withColumn("since_improvement", (F.col("_at") - F.coalesce("_last", F.lit(1))).cast("int"))
+    return d.withColumn("stop", F.col("since_improvement") > patience_n).drop("_at", "_last", "_range")
 
 
 HP_RE = r"lr_([^_/]+)_sched_([^_/]+)_wd_([^_/]+)_len_(\d+)_it_(\d+)/run_(\d+)"

@@ -116,7 +116,7 @@ rbi AS (SELECT *, best_before IS NULL OR value > best_before AS improved FROM rb
 
 
 def running(spark, d):
-    return K.running_best(events(spark, d), "run_path", ["ts", "event_id"], "value")
+    return K.running_best(events(spark, d), "run_path", ["ts", "event_id"], "value", keep_ranges=True)
 
 
 @query("running_best", "WITH " + RB + " SELECT event_id, run_path, best_before, improved FROM rbi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.plans import q_cleaning, q_reports, q_tokens  # noqa: F401 (registers the oracles reused here)
-from corpuskit.plans.inputs import articles_raw
+from corpuskit.plans.inputs import articles_raw, table
 from corpuskit.plans.registry import ORACLES, query
 from corpuskit.sources.files import scratch_dir
 from corpuskit.streaming import jobs as S
@@ -55,13 +55,34 @@ def q_throughput_windows(spark, d):
     return S.latest_windows(spark, out).select("window_start", "docs", "bytes")
 
 
+PATIENCE_SCHEMA = "event_id long, ts timestamp, value double, run_path string"
+#: Files of the shuffled log, and how many of them arrive together.
+ARRIVALS, FILES_A_BATCH = 8, 3
+
+
 @query("stream_patience", ORACLES["patience"])
 def q_stream_patience(spark, d):
-    """The patience report computed by a stateful stream over the events log (one batch here)."""
-    src_df = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The patience report by a stateful stream over the events log, whose rows arrive shuffled over several micro-batches."""
     rp = F.concat(F.lit("model_"), (F.col("user_id") % 5).cast("string"), F.lit("/run_"), (F.col("user_id") % 3).cast("string"))
-    src_df = src_df.select("event_id", "ts", "value", rp.alias("run_path"))
-    out, ck = scratch_dir(spark, "patience"), scratch_dir(spark, "patience-ckpt")
-    S.stream_patience(spark, src_df, out, ck, 15)
-    return spark.read.parquet(out).select("event_id", "run_path", "since_improvement", "stop")
+    log = table(spark, d, "events", "event_id", "ts", "user_id", "value").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value", rp.alias("run_path"))
+    src = scratch_dir(spark, "patience-in")
+    log.repartition(ARRIVALS, F.md5(F.col("event_id").cast("string"))).write.parquet(src)
+    return patience_of_arrivals(spark, src).select("event_id", "run_path", "since_improvement", "stop")
 
+
+def patience_of_arrivals(spark, src):
+    """All evaluations in ``src``, however disordered: the delay is the log's span, and a heartbeat after it closes the log."""
+    span = spark.read.schema(PATIENCE_SCHEMA).parquet(src).agg(F.unix_timestamp(F.min("ts")).alias("lo"), F.unix_timestamp(F.max("ts")).alias("hi")).first()
+    out, ck = scratch_dir(spark, "patience"), scratch_dir(spark, "patience-ckpt")
+    if span["hi"] is None:
+        return spark.createDataFrame([], S.PATIENCE_OUT)
+    delay = span["hi"] - span["lo"] + 1
+
+    def run():
+        stream = spark.readStream.schema(PATIENCE_SCHEMA).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(src)
+        S.stream_patience(stream, out, ck, 15, f"{delay} seconds")
+
+    run()
+    S.heartbeat(spark, src, span["hi"] + delay + 2)
+    run()  # goes on from the checkpoint
+    return spark.read.schema(S.PATIENCE_OUT).parquet(out)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpuskit.operators import cleaning as C
 from corpuskit.operators import tokens as K
@@ -75,38 +76,80 @@ def latest_windows(spark: SparkSession, out: str) -> DataFrame:
 
 
 PATIENCE_OUT = "event_id long, run_path string, since_improvement int, stop boolean"
-PATIENCE_STATE = "best double, since int"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _patience_fn(patience_n: int):
-    def fn(key, pdfs, state):
-        best, since = (state.get if state.exists else (None, 0))
-        # a run's rows may come in several Arrow chunks and in any order: order the whole micro-batch first
-        parts = list(pdfs)
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
+class PatienceProcessor(StatefulProcessor):
+    """State of a run: evaluations that wait for the watermark, the best value so far and the count since.
+
+    An evaluation is counted when the watermark passes its time, so rows that arrive out of
+    order (within the watermark's delay) are counted in order.  One timer a run is set, at
+    its earliest waiting row.
+    """
+
+    def __init__(self, patience_n: int):
+        self.patience_n = patience_n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "best double, since int")
+        self.waiting = handle.getListState("waiting", "ms bigint, event_id bigint, value double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        earliest = None
+        for pdf in rows:
+            pdf = pdf[pdf["event_id"].notna()]  # heartbeats only move the watermark
+            if len(pdf):
+                ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
+                self.waiting.appendList([(int(m), int(e), None if pd.isna(v) else float(v)) for m, e, v in zip(ms, pdf["event_id"], pdf["value"])])
+                earliest = int(ms.min()) if earliest is None else min(earliest, int(ms.min()))
+        if earliest is not None:
+            self.handle.registerTimer(max(earliest, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get())
+        due = [r for r in rows if r[0] <= until]
+        best, since = self.best.get() if self.best.exists() else (None, 0)
         counts = []
-        for v in pdf["value"].tolist():
-            if best is None or v > best:
+        for _, _, v in due:
+            if best is None or (v is not None and v > best):  # as long as nothing has a value, every row is the best so far
                 best, since = v, 0
             else:
                 since += 1
             counts.append(since)
-        state.update((best, since))
-        since_improvement = pd.Series(counts, dtype="int32")
-        yield pd.DataFrame({"event_id": pdf["event_id"].astype("int64"), "run_path": pdf["run_path"],
-                            "since_improvement": since_improvement, "stop": since_improvement > patience_n})
-
-    return fn
-
+        if due:
+            self.best.update((best, since))
+        later = rows[len(due):]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0])
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame({"event_id": pd.Series([r[1] for r in due], dtype="int64"), "run_path": pd.Series([key[0]] * len(due), dtype=object),
+                            "since_improvement": pd.Series(counts, dtype="int32"), "stop": pd.Series([c > self.patience_n for c in counts], dtype="bool")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_patience(src: DataFrame, out: str, ckpt: str, patience_n: int, delay: str) -> None:
+    """K9/K10 over an arriving metrics log ``(event_id, ts, value, run_path)`` that may be out of order by up to ``delay``.
+
+    ``transformWithStateInPandas`` with event-time timers: an evaluation comes out once the watermark
+    has passed it.  A row without ``event_id`` is a heartbeat: it counts nothing, but its time moves the
+    watermark, so a last one later than all rows by ``delay`` closes the log.  Rows later than
+    ``delay`` are dropped by the watermark.
+    """
+    src.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    g = src.withWatermark("ts", delay).groupBy("run_path").transformWithStateInPandas(
+        PatienceProcessor(patience_n), PATIENCE_OUT, outputMode="Append", timeMode="EventTime")
+    _run(g.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", out).outputMode("append"))
 
-def stream_patience(spark: SparkSession, src: DataFrame, out: str, ckpt: str, patience_n: int) -> None:
-    """K9/K10 over an arriving metrics log: per-run state (best so far, evaluations since),
-    ``applyInPandasWithState``.  Rows of one run are ordered by time within a micro-batch; a row
-    older than an earlier micro-batch counts as an evaluation that arrives now."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
 
-    g = src.groupBy("run_path").applyInPandasWithState(
-        _patience_fn(patience_n), PATIENCE_OUT, PATIENCE_STATE, "append", GroupStateTimeout.NoTimeout)
-    _run(g.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", out).outputMode("append"))
+def heartbeat(spark: SparkSession, folder: str, seconds: int) -> None:
+    """Adds a file with one heartbeat at ``seconds`` since the epoch to the folder of a source."""
+    null = F.lit(None)
+    row = spark.range(1).select(null.cast("bigint").alias("event_id"), F.timestamp_seconds(F.lit(seconds)).alias("ts"), null.cast("double").alias("value"), null.cast("string").alias("run_path"))
+    row.write.mode("append").parquet(folder)

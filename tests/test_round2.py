@@ -1,6 +1,5 @@
 """Order of arrival, cluster scratch folders, category lines, word pieces and LCS."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,31 +7,34 @@ import __spark_entry__ as entry
 from corpuskit import session
 from corpuskit.functions import arrow_udfs
 from corpuskit.functions import text as T
-from corpuskit.plans.q_streaming import EVENTS_SCHEMA
 from corpuskit.sources.files import scratch_dir
-from corpuskit.streaming import jobs
 
 from .conftest import SMALL
 
 
-def test_stream_patience_does_not_depend_on_file_order(spark):
-    events = spark.read.parquet(f"{SMALL}/events.parquet")
+def test_stream_patience_orders_late_rows(spark):
+    """Rows shuffled over micro-batches, in chunks, with ties in time and missing values: the batch result."""
+    from corpuskit.operators import reports
+    from corpuskit.plans import q_streaming
+
+    events = spark.read.parquet(f"{SMALL}/events.parquet").limit(600)
+    rp = F.concat(F.lit("run_"), F.when(F.col("user_id") % 3 == 0, F.lit("a")).otherwise((F.col("user_id") % 4).cast("string")))
+    value = F.when(F.col("event_id") % 11 != 0, F.col("value"))
+    log = events.select("event_id", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), value.alias("value"), rp.alias("run_path"))
     folder = scratch_dir(spark, "shuffled")
-    events.orderBy(F.md5(F.col("event_id").cast("string"))).coalesce(1).write.parquet(folder)
-    rp = F.concat(F.lit("model_"), (F.col("user_id") % 5).cast("string"), F.lit("/run_"), (F.col("user_id") % 3).cast("string"))
-    src = spark.readStream.schema(EVENTS_SCHEMA).parquet(folder).select("event_id", "ts", "value", rp.alias("run_path"))
-    out = scratch_dir(spark, "patience-test")
+    log.repartition(7, F.md5(F.col("event_id").cast("string"))).write.parquet(folder)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
-        jobs.stream_patience(spark, src, out, scratch_dir(spark, "patience-test-ckpt"), 15)
+        got = q_streaming.patience_of_arrivals(spark, folder).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    columns = ["event_id", "run_path", "since_improvement", "stop"]
-    got = spark.read.parquet(out).select(columns).toPandas().sort_values("event_id")
-    want = entry.queries()["patience"](spark, SMALL).select(columns).toPandas().sort_values("event_id")
-    assert got.to_numpy().tolist() == want.to_numpy().tolist()
-
+    batch = reports.patience(reports.running_best(log, "run_path", ["ts", "event_id"], "value"), "run_path", ["ts", "event_id"], 15)
+    want = {r["event_id"]: (r["run_path"], r["since_improvement"], r["stop"]) for r in batch.collect()}
+    assert len(got) == 600 and {r["event_id"]: (r["run_path"], r["since_improvement"], r["stop"]) for r in got} == want
+    empty = scratch_dir(spark, "no-log")
+    log.limit(0).write.parquet(empty)
+    assert q_streaming.patience_of_arrivals(spark, empty).count() == 0
 
 def test_a_cluster_needs_a_shared_folder():
     class Conf:
