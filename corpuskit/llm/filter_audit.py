@@ -2,13 +2,13 @@
 
 Texts become CSR shards: each task cuts its rows into shards of a bounded number
 of bytes, splits words, encodes them by a dictionary of the shard and writes row
-pointers, word numbers and counts.  The words of all shards then get one global
-number each (a two-level prefix, no single task numbers them all), the numbers
-travel back to the shards (one row per word and shard, not per word and document),
-and every shard is rewritten with global columns.  Row sums are the words of a
-document, nonzero entries its distinct words; they decide filters A and B.  The
-flags of C and D are counted in the same pass over the bytes, E by the smallest id
-of each text.
+pointers, word numbers and counts.  A shard's dictionary is dealt into parts by a hash
+of the word; a part of all shards together numbers its words, parts follow each other,
+so every word of the table has one global number and no task sees all of them.  What
+travels is a block of words per shard and part and its numbers back, not a row per word;
+then every shard gets global columns.  Row sums are the words of a document, nonzero
+entries its distinct words; they decide filters A and B.  The flags of C and D are
+counted in the same pass over the bytes, E by the smallest id of each text.
 
 Defined results: a null text is an empty one (no words, and it equals other empty
 texts); a null id is never a copy and has no labels; a null or missing source is the
@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,14 +37,15 @@ from corpuskit.llm.common import written
 
 #: Bytes of text in one shard; bounds a task's memory and the length of a shard's arrays.
 SHARD_BYTES = 4 << 20
+SHARD_ROWS = 1 << 18
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
 
-LOCAL = ("shard string, doc_id array<bigint>, part array<string>, digest array<binary>, c array<boolean>, d array<boolean>, "
-         "indptr array<int>, indices array<int>, counts array<int>, words array<binary>")
-#: One CSR shard: rows with their id, part, digest of the text and flags; columns are global word numbers.
-SHARD = "shard string, doc_id array<bigint>, part array<string>, digest array<binary>, c array<boolean>, d array<boolean>, indptr array<int>, indices array<bigint>, counts array<int>"
+META = "shard string, doc_id array<bigint>, part array<string>, digest array<binary>, c array<boolean>, d array<boolean>, indptr array<int>, counts array<int>"
+#: A shard with its own word numbers, and its words by part of the dictionary, each joined by line feeds.
+LOCAL = META + ", indices array<int>, blocks array<binary>"
+NUMBERED = "shard string, part int, ranks binary, distinct int"
 
 
 def _row_sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -52,83 +53,131 @@ def _row_sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets])
 
 
-def _shard(name: str, ids: pa.Array, parts: pa.Array, texts: list[bytes]) -> dict:
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+def _buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0 and bytes of a string or binary array without nulls."""
+    values = values.cast(pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data
+
+
+def _shard(name: str, ids: pa.Array, parts: pa.Array, texts: pa.Array, parts_of_dictionary: int) -> dict:
+    offsets, data = _buffers(texts)
     upper, points = _row_sums((data >= 65) & (data <= 90), offsets), _row_sums((data & 0xC0) != 0x80, offsets)
     marks = _row_sums(np.isin(data, np.frombuffer(b"#$%&*|", dtype=np.uint8)), offsets)
-
-    split = [t.split() for t in texts]  # bytes split on [\x20\x09-\x0D]+ and nothing else
+    digest = [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets, offsets[1:])]
+
+    split = pc.ascii_split_whitespace(texts)  # at \x20 and \x09-\x0D, with empty strings at the ends
+    rows = np.repeat(np.arange(len(texts), dtype=np.int64), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    words = split.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    rows, words = rows[some.to_numpy(zero_copy_only=False)], words.filter(some).dictionary_encode()
+    blocks, place = _dealt(words.dictionary, parts_of_dictionary)
+    n = max(len(place), 1)
+    cells, counts = np.unique(rows * n + place[words.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+    rows, columns = np.divmod(cells, n)
+    return {"shard": name, "doc_id": ids, "part": parts, "digest": digest, "c": 100 * upper > 2 * points, "d": marks > 0,
+            "indptr": np.searchsorted(rows, np.arange(len(texts) + 1)), "counts": counts, "indices": columns, "blocks": blocks}
+
+
+#: Odd multipliers of the word hash by place in the word; longer words use them again.
+_WEIGHTS = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+
+
+def _dealt(words: pa.Array, parts: int) -> tuple[list[bytes], np.ndarray]:
+    """Words by part, joined by line feeds, and each word's place in that order.  No word is empty or holds a line feed."""
+    if not len(words):
+        return [b""] * parts, np.zeros(0, np.int64)
+    offsets, data = _buffers(words)
+    at = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    mixed = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _WEIGHTS[at % len(_WEIGHTS)], offsets[:-1])
+    part = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    dealt = words.cast(pa.binary()).take(pa.array(order))
+    joined = [dealt.slice(a, b - a).to_pylist() for a, b in zip(cuts, cuts[1:])]
+    return [b"\n".join(j) for j in joined], place
+
+
+def _local_shards(parts_of_dictionary: int):
+    """Shards of consecutive rows with their own dictionaries; a shard ends where its bytes exceed the bound."""
+    kinds = [("shard", pa.string()), ("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("c", pa.bool_()), ("d", pa.bool_()),
+             ("indptr", pa.int32()), ("counts", pa.int32()), ("indices", pa.int32()), ("blocks", pa.binary())]
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        task, made = context.partitionId() if context else 0, 0
+        for batch in batches:
+            size = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                before = size[lo - 1] if lo else 0
+                hi = min(max(lo + 1, int(np.searchsorted(size, before + SHARD_BYTES, side="right"))), lo + SHARD_ROWS)
+                own = batch.slice(lo, hi - lo)
+                shard = _shard(f"{task}-{made}", own["doc_id"], own["part"], own["text"], parts_of_dictionary)
+                columns = [pa.array([shard["shard"]])]
+                for name, kind in kinds[1:]:
+                    values = shard[name] if isinstance(shard[name], pa.Array) else pa.array(shard[name], type=kind)
+                    columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values))
+                yield pa.RecordBatch.from_arrays(columns, [k for k, _ in kinds])
+                lo, made = hi, made + 1
+
+    return shards
+
+
+def _numbered(blocks: pa.Table) -> pa.Table:
+    """Numbers the words of one part over all shards, by first use in the order of the shards."""
+    blocks = blocks.sort_by("shard")
+    split = [b.split(b"\n") for b in blocks["words"].to_pylist()]
     words = pa.array(itertools.chain.from_iterable(split), type=pa.binary()).dictionary_encode()
+    cuts = np.cumsum([0] + [len(s) for s in split])
+    ranks = words.indices.to_numpy(zero_copy_only=False).astype("<i4")
     n = len(words.dictionary)
-    rows = np.repeat(np.arange(len(texts), dtype=np.int64), [len(s) for s in split])
-    cells, counts = np.unique(rows * max(n, 1) + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
-    rows, columns = np.divmod(cells, max(n, 1))
-    return {"shard": name, "doc_id": ids.to_pylist(), "part": parts.to_pylist(), "digest": [hashlib.md5(t).digest() for t in texts],
-            "c": 100 * upper > 2 * points, "d": marks > 0, "indptr": np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32),
-            "indices": columns.astype(np.int32), "counts": counts.astype(np.int32), "words": words.dictionary}
-
-
-def _local_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of consecutive rows with their own dictionaries; a shard ends where its bytes exceed the bound."""
-    context = TaskContext.get()
-    task, made = context.partitionId() if context else 0, 0
-    for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        lo = 0
-        while lo < batch.num_rows:
-            before = size[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(size, before + SHARD_BYTES, side="right")))
-            own = batch.slice(lo, hi - lo)
-            shard = _shard(f"{task}-{made}", own["doc_id"], own["part"], [t or b"" for t in own["text"].to_pylist()])
-            columns = [pa.array([shard["shard"]])]
-            for name, kind in (("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("c", pa.bool_()), ("d", pa.bool_()),
-                               ("indptr", pa.int32()), ("indices", pa.int32()), ("counts", pa.int32()), ("words", pa.binary())):
-                values = shard[name] if isinstance(shard[name], pa.Array) else pa.array(shard[name], type=kind)
-                columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values))
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "part", "digest", "c", "d", "indptr", "indices", "counts", "words"])
-            lo, made = hi, made + 1
-
-
-def _numbered(words: DataFrame, spark) -> DataFrame:
-    """``(word, number)``: 0, 1, ... over all distinct words, by buckets of their hash."""
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    distinct = words.select("word").distinct().withColumn("b", F.pmod(F.xxhash64("word"), F.lit(n)).cast("int"))
-    per = distinct.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    before = per.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))  # one row a bucket
-    at = F.row_number().over(Window.partitionBy("b").orderBy("word"))
-    return distinct.join(F.broadcast(before), "b").select("word", (F.col("before") + at - 1).alias("number"))
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _global_columns(indices, numbers):
-    return indices.combine(numbers, lambda i, n: np.asarray(n, dtype=np.int64)[np.asarray(i, dtype=np.int64)] if len(i) else np.empty(0, np.int64))
+    return pa.table({"shard": blocks["shard"], "part": blocks["part"], "ranks": pa.array([ranks[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], type=pa.binary()),
+                     "distinct": pa.array([n] * blocks.num_rows, type=pa.int32())})
 
 
 def document_term_shards(docs: DataFrame) -> DataFrame:
-    """CSR shards of the document-term matrix (schema ``SHARD``), columns numbered over the whole table."""
+    """CSR shards of the document-term matrix: ``META`` and ``indices array<bigint>``, columns numbered over the whole table."""
+    spark = docs.sparkSession
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(source, F.lit("")).alias("part"),
-                       F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    local = written(rows.mapInArrow(_local_shards, LOCAL), "csr-local")
-    held = local.select("shard", F.posexplode("words").alias("at", "word"))
-    numbers = held.join(_numbered(held, docs.sparkSession), "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("n"))
-    both = local.drop("words").join(numbers.select("shard", F.col("n.number").alias("numbers")), "shard", "left")
-    none = F.array().cast("array<bigint>")
-    return both.withColumn("indices", _global_columns("indices", F.coalesce("numbers", none))).select([c.split()[0] for c in SHARD.split(", ")])
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    local = written(rows.mapInArrow(_local_shards(parts), LOCAL), "csr-local")
+    blocks = local.select("shard", F.posexplode("blocks").alias("part", "words")).filter(F.octet_length("words") > 0)
+    numbered = written(blocks.groupBy("part").applyInArrow(lambda own: _numbered(own), NUMBERED), "csr-numbers")
+    before, n = {}, 0
+    for r in numbered.groupBy("part").agg(F.max("distinct").alias("n")).orderBy("part").collect():  # as many rows as shuffle partitions
+        before[r["part"]], n = n, n + r["n"]
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def global_columns(indices: pd.Series, used: pd.Series, ranks: pd.Series) -> pd.Series:
+        def shard(own, used, ranks):
+            if own is None or not len(own):
+                return np.empty(0, np.int64)
+            return np.concatenate([np.frombuffer(r, dtype="<i4").astype(np.int64) + before[p] for p, r in zip(used, ranks)])[np.asarray(own)]
+
+        return pd.Series([shard(*x) for x in zip(indices, used, ranks)])
+
+    back = numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("part", "ranks"))).alias("x"))
+    back = back.select("shard", F.col("x.part").alias("used"), F.col("x.ranks").alias("ranks"))
+    both = local.drop("blocks").join(back, "shard", "left")
+    return both.select(*[c.split()[0] for c in META.split(", ")], global_columns("indices", "used", "ranks").alias("indices"))
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("words", T.LongType()), T.StructField("distinct", T.LongType())])))
 def _row_totals(indptr, indices, counts):
-    """Per row the sum of its entries and its number of different global columns."""
+    """Per row the sum of its entries and its number of different global columns (below 2^44; a shard has fewer than 2^19 rows)."""
     def shard(ptr, columns, values):
         ptr = np.asarray(ptr, dtype=np.int64)
         total = np.concatenate([[0], np.cumsum(np.asarray(values, dtype=np.int64))])
-        rows, columns = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), np.asarray(columns, dtype=np.int64)
-        at = np.lexsort((columns, rows))
-        first = np.ones(len(at), dtype=bool)
-        first[1:] = (np.diff(rows[at]) != 0) | (np.diff(columns[at]) != 0)
-        nonzero = np.bincount(rows[at[first]], minlength=len(ptr) - 1)
+        cells = np.sort(np.repeat(np.arange(len(ptr) - 1) << 44, np.diff(ptr)) | np.asarray(columns, dtype=np.int64))
+        first = np.ones(len(cells), dtype=bool)
+        first[1:] = np.diff(cells) != 0
+        nonzero = np.bincount(cells[first] >> 44, minlength=len(ptr) - 1)
         return [{"words": int(w), "distinct": int(d)} for w, d in zip(np.diff(total[ptr]), nonzero)]
 
     return pd.Series([shard(*x) for x in zip(indptr, indices, counts)])
@@ -136,7 +185,7 @@ def _row_totals(indptr, indices, counts):
 
 def document_flags(docs: DataFrame, min_words: int = 200, min_distinct: int = 50, max_upper: int = 2) -> DataFrame:
     """``(doc_id, part, digest, words, distinct, a, b, c, d)`` of every row, A and B from its row of the matrix."""
-    shards = written(document_term_shards(docs), "csr").withColumn("m", _row_totals("indptr", "indices", "counts"))
+    shards = document_term_shards(docs).withColumn("m", _row_totals("indptr", "indices", "counts"))
     cells = F.explode(F.arrays_zip("doc_id", "part", "digest", "c", "d", "m")).alias("r")
     r = shards.select(cells).select("r.doc_id", "r.part", "r.digest", "r.m.words", "r.m.distinct", "r.c", "r.d")
     return r.select("doc_id", "part", "digest", "words", "distinct", (F.col("words") < min_words).alias("a"),
