@@ -7,30 +7,6 @@ import numpy as np
 import pandas as pd
 
 
-def block_topk(k: int, qid: str, vid: str, qvec: str, vvec: str):
-    """cogroup kernel: exact inner products of one corpus bucket with one query block,
-    keeping the local top-k per query (never all pairs)."""
-
-    def fn(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if corpus.empty or queries.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        E = np.stack(corpus[vvec].to_numpy()).astype(np.float64)
-        Q = np.stack(queries[qvec].to_numpy()).astype(np.float64)
-        S = Q @ E.T
-        ids = corpus[vid].to_numpy()
-        kk = min(k, S.shape[1])
-        # order by score desc, then id asc: lexsort per row on the partitioned candidates
-        part = np.argpartition(-S, kk - 1, axis=1)[:, :kk] if kk < S.shape[1] else np.tile(np.arange(S.shape[1]), (S.shape[0], 1))
-        # ties at the k-th score: keep every column equal to the k-th best so the merge can break ties by id
-        kth = np.take_along_axis(S, part, axis=1).min(axis=1, keepdims=True)
-        rows, cols = np.nonzero(S >= kth)
-        return pd.DataFrame({"query_id": queries[qid].to_numpy()[rows].astype("int64"),
-                             "vec_id": ids[cols].astype("int64"), "score": S[rows, cols]})
-
-    return fn
-
-
 def to_float16(v: pd.Series) -> pd.Series:
     """Round float vectors to half precision (storage format of the embedding store)."""
     return v.apply(lambda a: None if a is None else np.asarray(a, dtype=np.float32).astype(np.float16).astype(np.float32))

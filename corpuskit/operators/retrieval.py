@@ -1,21 +1,15 @@
 """Embedding store and exact retrieval.
 
-``mips_topk`` never forms all (query, vector) pairs as rows: the corpus is
-hash-bucketed, query blocks of bounded size are replicated to every bucket,
-and each (bucket, block) cell is one numpy matrix product that keeps its local
-top-k (``cogroup.applyInPandas``).  A final window over at most
-``k x buckets`` candidates per query picks the global top-k.
+``mips_topk`` (``mips``) never forms all (query, vector) pairs as rows: blocks of
+bounded bytes meet blocks of queries, and blocks whose bound is too low are skipped.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
-
+from corpuskit.operators.mips import MipsSearch
 
 def store_embeddings(store: DataFrame, new: DataFrame, key: str = "vec_id", allow_overwrite: bool = False) -> DataFrame:
     """H1: add ``new`` rows; an id already present is an error unless ``allow_overwrite``.
@@ -60,28 +54,12 @@ def coverage_gaps(evidence: DataFrame, ekey: str, emb: DataFrame, vkey: str) ->
 
 
 def mips_topk(corpus: DataFrame, queries: DataFrame, k: int, vid: str = "vec_id", vvec: str = "embedding",
-              qid: str = "query_id", qvec: str = "query", n_buckets: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """H5: exact inner-product top-k per query: ``(query_id, rank, vec_id, score)``.
+              qid: str = "query_id", qvec: str = "query", **sizes) -> DataFrame:
+    """H5: exact inner-product top-k per query: ``(query_id, rank, vec_id, score)``; ties by the smaller vector id.
 
-    Ties are broken by the smaller vector id.  Query blocks hold at most
-    ``query_block`` rows (the number of blocks is derived from a count).
+    See ``mips.MipsSearch``, which also takes ``sizes``.
     """
-    from corpuskit.functions.vectors import block_topk
-
-    spark = corpus.sparkSession
-    nb = n_buckets or max(1, spark.sparkContext.defaultParallelism)
-    nq = queries.count()
-    nqb = max(1, math.ceil(nq / query_block))
-    c = corpus.select(vid, vvec).withColumn("_b", F.pmod(F.xxhash64(vid), F.lit(nb)).cast("int"))
-    c = c.crossJoin(F.broadcast(spark.range(nqb).select(F.col("id").cast("int").alias("_q"))))
-    q = queries.select(qid, qvec).withColumn("_q", F.pmod(F.xxhash64(qid), F.lit(nqb)).cast("int"))
-    q = q.crossJoin(F.broadcast(spark.range(nb).select(F.col("id").cast("int").alias("_b"))))
-    fn = block_topk(k, qid, vid, qvec, vvec)
-    cand = c.groupBy("_b", "_q").cogroup(q.groupBy("_b", "_q")).applyInPandas(
-        lambda a, b: fn(a, b), "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    r = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return r.select(F.col("query_id").alias(qid), F.col("rank").cast("int"), vid if vid == "vec_id" else F.col("vec_id").alias(vid), "score")
+    return MipsSearch(corpus, queries, k, vid, vvec, qid, qvec, **sizes).topk()
 
 
 def mips_topk_vectors(top: DataFrame, corpus: DataFrame, vid: str = "vec_id", vvec: str = "embedding") -> DataFrame:
