@@ -4,6 +4,8 @@ No ``from __future__ import annotations`` here: pandas UDF type hints must be
 real types.
 """
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -30,6 +32,62 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+def cut_word(word: str, known, longest: int, max_chars: int = 200):
+    """Longest known pieces of a word from left to right, or None if a place has none or the word is too long."""
+    if len(word) > max_chars:
+        return None
+    out, s = [], 0
+    while s < len(word):
+        for e in range(min(len(word), s + longest), s, -1):
+            piece = word[s:e] if s == 0 else "##" + word[s:e]
+            if piece in known:
+                out.append(piece)
+                s = e
+                break
+        else:
+            return None
+    return out
+
+
+def piece_arrays(pieces_bc, longest: int, unk: str):
+    """Word -> its pieces; ``pieces_bc`` is a broadcast dictionary of pieces."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def pieces(words: pd.Series) -> pd.Series:
+        known = pieces_bc.value
+        cut = [None if w is None else cut_word(w, known, longest) if w else [] for w in words]
+        return pd.Series([[unk] if c is None and w is not None else c for c, w in zip(cut, words)], dtype=object)
+
+    return pieces
+
+
+MEMO = 500_000
+
+
+def sentence_piece_ids(ids_bc, longest: int, unk: int):
+    """Array of words -> array of the ids of all their pieces; words seen before are looked up."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, memo = ids_bc.value, {}
+        for batch in batches:
+            if len(memo) > MEMO:
+                memo = {}
+            out = []
+            for words in batch:
+                ids = []
+                for w in words:
+                    own = memo.get(w)
+                    if own is None:
+                        cut = cut_word(w, known, longest)
+                        own = memo[w] = [unk] if cut is None else [known[p] for p in cut]
+                    ids += own
+                out.append(ids)
+            yield pd.Series(out, dtype=object)
+
+    return encode
+
+
 def _bytes_to_unicode():
     """Byte -> printable character map of byte-level BPE, built by rule: printable
     Latin-1 bytes map to themselves, the other 68 bytes to code points from 256 up."""

@@ -22,8 +22,8 @@ from corpuskit.functions import hashing as H
 from corpuskit.functions import prefix
 from corpuskit.functions import specials as S
 from corpuskit.functions import text as T
-from corpuskit.operators.cleaning import keep_rows
-from corpuskit.operators.tokens import BROADCAST_VOCAB_ROWS, sentences_of, wordpiece_encode, wordpiece_vocab
+from corpuskit.functions.arrow_udfs import sentence_piece_ids
+from corpuskit.operators.tokens import BROADCAST_PIECES, piece_dictionary, piece_sizes, pieces_by_join, sentences_of, wordpiece_vocab
 from corpuskit.session import written
 
 SPECIALS = (S.CLS, S.SEP, S.PAD)
@@ -33,11 +33,9 @@ SPANS = "array<struct<g:int,hi:int>>"
 # --- word pieces -------------------------------------------------------------
 
 def sentence_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, sent_pos, words)`` of every sentence with a word, written once: vocabulary and ids both come from it."""
-    s = docs.select(key, F.posexplode(sentences_of(text)).alias("_p", "_sent")).select(key, "_p", T.basic_tokens("_sent").alias("words"))
-    s = keep_rows(s, F.size("words") > 0)
-    at = F.row_number().over(Window.partitionBy(key).orderBy("_p")) - 1
-    return written(s.select(key, at.cast("int").alias("sent_pos"), "words"), "sentence-words")
+    """``(key, sent_pos, words)`` of every sentence with a word, one narrow pass, written: vocabulary and ids both come from it."""
+    words = F.filter(F.transform(sentences_of(text), lambda s: T.basic_tokens(s)), lambda w: F.size(w) > 0)
+    return written(docs.select(key, F.posexplode(words).alias("sent_pos", "words")), "sentence-words")
 
 
 def numbered_pieces(pieces: DataFrame) -> DataFrame:
@@ -56,16 +54,23 @@ def piece_bounds(ids: DataFrame) -> tuple[int, int]:
 
 
 def encode_pieces(words: DataFrame, ids: DataFrame, key: str = "doc_id", unk: int = S.UNK) -> DataFrame:
-    """``sentence_words`` -> ``(key, sent_pos, n_tokens, tokens)`` of piece ids; each distinct word is cut once."""
-    coded = wordpiece_encode(words.select(F.explode("words").alias("word")).distinct(), ids)
-    each = coded.select("word", F.posexplode("pieces").alias("_p", "piece")).join(ids, "piece", "left")
-    in_order = F.array_sort(F.collect_list(F.struct("_p", F.coalesce("id", F.lit(unk)).alias("id"))))
-    coded = written(each.groupBy("word").agg(in_order.alias("_x")).select("word", F.transform("_x", lambda x: x["id"]).alias("ids")), "word-pieces")
-    side = F.broadcast(coded) if coded.count() <= BROADCAST_VOCAB_ROWS else coded
-    flat = words.select(key, "sent_pos", F.posexplode("words").alias("_w", "word")).join(side, "word")
-    g = flat.groupBy(key, "sent_pos").agg(F.array_sort(F.collect_list(F.struct("_w", "ids"))).alias("_x"))
-    g = g.select(key, "sent_pos", F.flatten(F.transform("_x", lambda x: x["ids"])).alias("tokens"))
-    return g.select(key, "sent_pos", F.size("tokens").cast("int").alias("n_tokens"), "tokens")
+    """``sentence_words`` -> ``(key, sent_pos, n_tokens, tokens)`` of piece ids.
+
+    If the counted pieces allow a dictionary in each task, sentences are encoded where they lie, without
+    a shuffle; else distinct words are cut by joins and their ids joined back word by word.
+    """
+    n, longest = piece_sizes(ids)
+    if n <= BROADCAST_PIECES:
+        out = words.select(key, "sent_pos", sentence_piece_ids(piece_dictionary(ids), longest, unk)("words").alias("tokens"))
+    else:
+        cut = pieces_by_join(words.select(F.explode("words").alias("word")).distinct(), ids, longest)
+        each = cut.select("word", F.posexplode("pieces").alias("_p", "piece")).join(ids, "piece", "left")
+        in_order = F.array_sort(F.collect_list(F.struct("_p", F.coalesce("id", F.lit(unk)).alias("id"))))
+        coded = each.groupBy("word").agg(in_order.alias("_x")).select("word", F.transform("_x", lambda x: x["id"]).alias("ids"))
+        flat = words.select(key, "sent_pos", F.posexplode("words").alias("_w", "word")).join(coded, "word")
+        g = flat.groupBy(key, "sent_pos").agg(F.array_sort(F.collect_list(F.struct("_w", "ids"))).alias("_x"))
+        out = g.select(key, "sent_pos", F.flatten(F.transform("_x", lambda x: x["ids"])).alias("tokens"))
+    return out.select(key, "sent_pos", F.size("tokens").cast("int").alias("n_tokens"), "tokens")
 
 
 def piece_table(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:

@@ -6,13 +6,15 @@
   and fragments that fall inside it (``explode(sequence)``), so no join and no
   sequential walk is needed, and every sample is rebuilt from at most a few
   fragments.
-* Sentence blocks (E4-E7) are a greedy walk per document: ``aggregate`` over the
-  document's sentence sizes with a struct accumulator, appending only when a
-  block closes.  Targets are hash draws of (seed, epoch, document, block number).
+* Sentence blocks (E4-E7) are a greedy walk over a document's sentences as ordered rows;
+  only the open block is kept.  Targets are hash draws of (seed, epoch, document, block number).
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,65 +123,59 @@ def short_target(seed, epoch, key: Column, k: Column, max_len: int, short_prob:
     return F.when(u % r == 0, F.lit(2) + u % (max_len - 1)).otherwise(F.lit(max_len)).cast("int")
 
 
-def doc_sentence_sizes(tok: DataFrame, key: str = "doc_id") -> DataFrame:
-    g = tok.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sent_pos", "n_tokens"))).alias("_x"))
-    return g.select(key, F.transform("_x", lambda s: s["n_tokens"]).alias("sizes"))
+def _target(seed, epoch, key: str | None, k: int, max_len: int, short_prob: float) -> int:
+    """``short_target`` of one block, inside a task."""
+    if short_prob <= 0:
+        return max_len
+    parts = [str(seed), str(epoch), *([] if key is None else [key]), str(k)]
+    u = int(hashlib.md5("|".join(parts).encode()).hexdigest()[:8], 16)
+    return 2 + u % (max_len - 1) if u % int(round(1.0 / short_prob)) == 0 else max_len
 
 
-def sentence_blocks(sizes: DataFrame, key: str, max_len: int, min_sent: int, short_prob: float = 0.0, seed: int = 0,
-                    epoch: int = 0, title_len: str | None = None, close_min_remaining: int = 1) -> DataFrame:
-    """E4 (and E7 with ``title_len``): greedy blocks per document.
+def sentence_blocks(sents: DataFrame, key: str, max_len: int, min_sent: int, short_prob: float = 0.0, seed: int = 0,
+                    epoch: int = 0, title_len: str | None = None, close_min_remaining: int = 1, long_sentence: int | None = LONG_SENTENCE) -> DataFrame:
+    """E4 (and E7 with ``title_len``): greedy blocks per document over ``(key, sent_pos, n_tokens)`` rows.
 
     Close a block when ``len >= target`` and more than ``close_min_remaining``
     sentences remain and it has ``>= min_sent`` sentences, or at document end.
     Documents with fewer than ``min_sent`` sentences, or (if more than one sentence)
-    any sentence longer than 512 tokens, give no block.
-    Output ``(key, block, start, end, target)`` with ``[start, end)`` sentence ranges.
+    any sentence longer than ``long_sentence`` tokens, give no block.
+    Output ``(key, block, start_sent, end_sent, target)`` with ``[start, end)`` sentence ranges.
+
+    Where a block ends depends on all before it (its number draws its target), so the rows of a
+    document are read in order and only the open block is kept: memory does not grow with
+    the document.
     """
-    n = F.size("sizes")
-    long_doc = (n > 1) & F.exists("sizes", lambda s: s > LONG_SENTENCE)
-    base = sizes.filter((n >= min_sent) & ~long_doc)
-    kcol = F.col(key)
-
-    def target(k):
-        t = short_target(seed, epoch, kcol, k, max_len, short_prob)
-        if title_len is not None:
-            t = t - 3 - F.col(title_len)
-        return t
-
-    blk_t = "array<struct<start:int,end:int,target:int>>"
-    init = F.struct(
-        F.lit(0).alias("seq"), F.lit(0).alias("ns"), F.size("sizes").alias("rem"), F.lit(0).alias("start"),
-        F.lit(0).alias("k"), target(F.lit(0)).cast("int").alias("tgt"), F.array().cast(blk_t).alias("blocks"),
-    )
-    idx = F.transform("sizes", lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-
-    def step(acc, x):
-        seq = acc["seq"] + x["s"]
-        ns = acc["ns"] + 1
-        rem = acc["rem"] - 1
-        close = ((seq >= acc["tgt"]) & (rem > close_min_remaining) & (ns >= min_sent)) | (rem == 0)
-        blk = F.struct(acc["start"].alias("start"), (x["i"] + 1).cast("int").alias("end"), acc["tgt"].cast("int").alias("target"))
-        return F.struct(
-            F.when(close, 0).otherwise(seq).alias("seq"),
-            F.when(close, 0).otherwise(ns).alias("ns"),
-            rem.alias("rem"),
-            F.when(close, (x["i"] + 1).cast("int")).otherwise(acc["start"]).alias("start"),
-            F.when(close, acc["k"] + 1).otherwise(acc["k"]).alias("k"),
-            F.when(close, target(acc["k"] + 1).cast("int")).otherwise(acc["tgt"]).alias("tgt"),
-            F.when(close, F.concat(acc["blocks"], F.array(blk))).otherwise(acc["blocks"]).alias("blocks"),
-        )
-
-    res = base.select(key, F.aggregate(idx, init, step)["blocks"].alias("b"))
-    return res.select(key, F.posexplode("b").alias("block", "x")).select(
-        key, F.col("block").cast("int"), F.col("x.start").alias("start_sent"), F.col("x.end").alias("end_sent"),
-        F.col("x.target").alias("target"))
+    size = sents.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("n_tokens").alias("_most"))
+    size = size.filter((F.col("_n") >= min_sent) & ((F.col("_n") == 1) | F.lit(long_sentence is None) | (F.col("_most") <= (long_sentence or 0))))
+    taken = F.lit(0) if title_len is None else F.col(title_len) + 3
+    rows = sents.join(size.select(F.col(key).alias("_key"), "_n"), F.col(key).eqNullSafe(F.col("_key")))
+    rows = rows.select(F.col(key).cast("string").alias("key"), "sent_pos", "n_tokens", "_n", taken.alias("taken"))
+
+    def walk(batches):
+        at, k, i, start, seq, target = (), 0, 0, 0, 0, 0
+        for pdf in batches:
+            done = []
+            for own, tokens, n, less in zip(pdf["key"], pdf["n_tokens"], pdf["_n"], pdf["taken"]):
+                if (own,) != at:
+                    at, k, i, start, seq = (own,), 0, 0, 0, 0
+                    target = _target(seed, epoch, own, 0, max_len, short_prob) - less
+                seq, i = seq + tokens, i + 1
+                if (seq >= target and n - i > close_min_remaining and i - start >= min_sent) or i == n:
+                    done.append((own, k, start, i, target))
+                    k, start, seq = k + 1, i, 0
+                    target = _target(seed, epoch, own, k, max_len, short_prob) - less
+            yield pd.DataFrame(done, columns=["key", "block", "start_sent", "end_sent", "target"])
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", "sent_pos").select("key", "n_tokens", "_n", "taken")
+    out = ordered.mapInPandas(walk, "key string, block int, start_sent int, end_sent int, target int")
+    return out.select(F.col("key").cast(sents.schema[key].dataType).alias(key), "block", "start_sent", "end_sent", "target")
 
 
 def block_sentences(blocks: DataFrame, tok: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Token arrays of the sentences of every block: equi-join on the document, range filter."""
-    j = blocks.join(tok.select(key, "sent_pos", "tokens"), key)
-    j = j.filter((F.col("sent_pos") >= F.col("start_sent")) & (F.col("sent_pos") < F.col("end_sent")))
+    """Token arrays of the sentences of every block, joined sentence by sentence."""
+    at = blocks.select(key, "block", F.explode(F.sequence("start_sent", F.col("end_sent") - 1)).alias("sent_pos"))
+    j = tok.select(key, "sent_pos", "tokens").join(at, [key, "sent_pos"])
     g = j.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("sent_pos", "tokens"))).alias("_x"))
     return g.select(key, "block", F.transform("_x", lambda s: s["tokens"]).alias("sents"))
 

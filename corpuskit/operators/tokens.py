@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskit.functions import arrow_udfs as A
 from corpuskit.functions import prefix
 from corpuskit.functions import specials as S
 from corpuskit.functions import text as T
@@ -229,11 +230,38 @@ def wordpiece_encode(words: DataFrame, pieces: DataFrame, word: str = "word", un
     """Adds ``pieces``, at each place of a word the longest known piece (``##`` marks a continuation).
 
     A word with a place that no piece fits, or of more than ``max_chars`` characters, is ``unk``.
-    Every *distinct* word's substrings (no longer than the longest piece) meet the piece table in a join, which
-    Spark broadcasts or shuffles by its size; the longest per place are the steps of a walk over the word.
+    Every *distinct* word is cut once: by a dictionary of the pieces in each task if their counted number
+    allows, else by ``pieces_by_join``.
     """
-    longest = pieces.agg(F.max(F.length(F.regexp_replace("piece", "^##", "")))).first()[0] or 1
-    distinct = words.select(word).filter(F.col(word).isNotNull()).distinct().withColumn("_n", F.length(word))
+    n, longest = piece_sizes(pieces)
+    distinct = words.select(word).filter(F.col(word).isNotNull()).distinct()
+    if n <= BROADCAST_PIECES:
+        enc = distinct.select(word, A.piece_arrays(piece_dictionary(pieces), longest, unk)(word).alias("pieces"))
+    else:
+        enc = pieces_by_join(distinct, pieces, longest, word, unk, max_chars)
+    return words.join(enc, word, "left")
+
+
+BROADCAST_PIECES = 1_000_000
+
+
+def piece_sizes(pieces: DataFrame) -> tuple[int, int]:
+    """Number of pieces and characters of the longest."""
+    r = pieces.agg(F.count(F.lit(1)).alias("n"), F.max(F.length(F.regexp_replace("piece", "^##", ""))).alias("longest")).first()
+    return r["n"], r["longest"] or 1
+
+
+def piece_dictionary(pieces: DataFrame):
+    """A broadcast ``piece -> id`` (None without ids); call it for at most ``BROADCAST_PIECES`` pieces."""
+    has = "id" in pieces.columns
+    rows = pieces.select("piece", *(["id"] if has else [])).toLocalIterator()
+    return pieces.sparkSession.sparkContext.broadcast({r[0]: r[1] if has else None for r in rows})
+
+
+def pieces_by_join(distinct: DataFrame, pieces: DataFrame, longest: int, word: str = "word", unk: str = "[UNK]", max_chars: int = 200) -> DataFrame:
+    """``(word, pieces)`` without a copy of the piece table in any task: the substrings of each word (no longer than
+    the longest piece) meet the table in a join, and the longest per place are the steps of a walk over the word."""
+    distinct = distinct.withColumn("_n", F.length(word))
     at = distinct.filter(F.col("_n").between(1, max_chars)).select(word, "_n", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_s"))
     sub = at.select(word, "_s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("_n") - F.col("_s") + 1))).alias("_l"))
     text = F.col(word).substr(F.col("_s"), F.col("_l"))
@@ -250,4 +278,4 @@ def wordpiece_encode(words: DataFrame, pieces: DataFrame, word: str = "word", un
         F.sequence(F.lit(1), F.col("_n")), F.struct(F.lit(1).alias("next"), F.col("_m").alias("m"), none.alias("cuts")), step)))
     cut = F.transform("_w.cuts", lambda c: F.concat(F.when(c["s"] > 1, F.lit("##")).otherwise(F.lit("")), F.col(word).substr(c["s"], c["l"])))
     enc = walked.select(word, F.when(F.col("_w.next") == F.col("_n") + 1, cut).when(F.col("_n") == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(unk))).alias("pieces"))
-    return words.join(enc, word, "left")
+    return enc

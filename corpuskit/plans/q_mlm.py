@@ -5,6 +5,7 @@ The oracles walk the same choices one group at a time in recursive CTEs.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import specials as S
@@ -145,7 +146,7 @@ ot AS (SELECT key, pos, token, masked, CASE WHEN NOT masked THEN token WHEN u <
 def samples(spark, d):
     """E4 -> E8 -> E9 (to the block's target) -> E10 over word pieces, written: the masks read it many times."""
     tok, first, end = M.piece_table(table(spark, d, "documents", "doc_id", "text"), PIECES)
-    blocks = E.sentence_blocks(E.doc_sentence_sizes(tok), "doc_id", TARGET, MIN_SENT, SHORT_P, SEED)
+    blocks = E.sentence_blocks(tok, "doc_id", TARGET, MIN_SENT, SHORT_P, SEED)
     sents = E.block_sentences(blocks, tok).join(blocks.select(*DOC, "target"), DOC)
     key = F.concat_ws(":", *DOC)
     pair = E.truncate_pair(E.segment_pair(sents, SEED, key), SEED, key, F.col("target"))
@@ -259,14 +260,10 @@ def t5_blocks(tok, max_len):
     one; blocks may exceed their target by a sentence and are cut likewise.
     """
     short = O.split_fixed(tok, ["doc_id", "sent_pos"], "tokens", max_len)
-    x = F.array_sort(F.collect_list(F.struct("sent_pos", "piece", "tokens")))
-    sents = written(short.groupBy("doc_id").agg(x.alias("_x")).select("doc_id", F.transform("_x", lambda s: s["tokens"]).alias("sents")), "t5-sentences")
-    sizes = sents.select("doc_id", F.transform("sents", lambda t: F.size(t)).alias("sizes"))
-    b = E.sentence_blocks(sizes, "doc_id", max_len, 1, close_min_remaining=0)
-    at = b.select("doc_id", "block", F.explode(F.sequence("start_sent", F.col("end_sent") - 1)).alias("i"))
-    j = sents.select("doc_id", F.posexplode("sents").alias("i", "t")).join(at, ["doc_id", "i"])
-    g = j.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("_x"))
-    whole = g.select("doc_id", "block", F.flatten(F.transform("_x", lambda s: s["t"])).alias("tokens"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_pos", "piece")) - 1
+    short = written(short.select("doc_id", place.alias("sent_pos"), F.size("tokens").alias("n_tokens"), "tokens"), "t5-sentences")
+    b = E.sentence_blocks(short, "doc_id", max_len, 1, close_min_remaining=0, long_sentence=None)
+    whole = E.block_sentences(b, short).select("doc_id", "block", F.flatten("sents").alias("tokens"))
     return O.split_fixed(whole, ["doc_id", "block"], "tokens", max_len)
 
 

@@ -102,7 +102,7 @@ blocks AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS block, CAST(bs AS INTEGER) A
 
 def blocks(spark, d):
     tok = token_table(spark, d)
-    return E.sentence_blocks(E.doc_sentence_sizes(tok), "doc_id", MAX_LEN, MIN_SENT, SHORT_P, SEED)
+    return E.sentence_blocks(tok, "doc_id", MAX_LEN, MIN_SENT, SHORT_P, SEED)
 
 
 @query("sentence_blocks", BLOCKS_SQL + "SELECT * FROM blocks")

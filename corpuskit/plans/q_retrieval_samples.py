@@ -12,6 +12,7 @@ from corpuskit.plans import sql_inputs as Q
 from corpuskit.plans.inputs import arr_str
 from corpuskit.plans.q_tokens import DOC_TOK, token_table
 from corpuskit.plans.registry import query
+from corpuskit.session import written
 
 SEED = 1234
 MAXL = 64
@@ -47,10 +48,10 @@ bt AS (SELECT bs.*, ti.title FROM bs JOIN ti USING (doc_id))
 
 def titled_blocks(spark, d):
     tok = token_table(spark, d)
-    sizes = E.doc_sentence_sizes(tok).join(titles(tok).select("doc_id", F.size("title").alias("tl")), "doc_id")
-    b = E.sentence_blocks(sizes, "doc_id", MAXL, MIN_SENT, title_len="tl", close_min_remaining=MIN_SENT - 1)
-    bucket = P.range_bucket(b, "doc_id", 16)
-    return P.global_positions(b, [F.col("doc_id"), F.col("block")], bucket, rank_col="block_id"), tok
+    sents = tok.join(titles(tok).select("doc_id", F.size("title").alias("tl")), "doc_id")
+    b = E.sentence_blocks(sents, "doc_id", MAXL, MIN_SENT, title_len="tl", close_min_remaining=MIN_SENT - 1)
+    ranged = written(b.repartitionByRange("doc_id", "block").withColumn("_b", F.spark_partition_id()), "titled-blocks")
+    return P.global_positions(ranged, [F.col("doc_id"), F.col("block")], F.col("_b"), rank_col="block_id").drop("_b"), tok
 
 
 @query("titled_blocks", TITLED_SQL + "SELECT doc_id, block, start_sent, end_sent, target, block_id FROM tb")

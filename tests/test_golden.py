@@ -58,7 +58,7 @@ def test_pack_closed_form_matches_layout(spark):
 
 
 def _blocks(spark, sizes, target, min_sent):
-    df = spark.createDataFrame([(0, sizes)], "doc_id long, sizes array<int>")
+    df = spark.createDataFrame([(0, i, n) for i, n in enumerate(sizes)], "doc_id long, sent_pos int, n_tokens int").repartition(2)
     return [(r["start_sent"], r["end_sent"]) for r in E.sentence_blocks(df, "doc_id", target, min_sent).orderBy("block").collect()]
 
 

@@ -144,7 +144,9 @@ def rows_for(rows):
     return [(k, t, None) for k, t in rows]
 
 
-def test_pieces(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_pieces(spark, monkeypatch, bound):
+    monkeypatch.setattr(M, "BROADCAST_PIECES", bound)
     docs = spark.createDataFrame([(1, "unaffable able. xyz! able?"), (2, ""), (3, None), (4, "Able able")], "doc_id long, text string")
     tok, first, end = M.piece_table(docs, 1)
     rows = {(r["doc_id"], r["sent_pos"]): r["tokens"] for r in tok.collect()}

@@ -57,9 +57,12 @@ def test_category_lines_with_carriage_returns_stay(spark):
     assert df.select(T.drop_category_lines("t")).first()[0] == "Category:Foo\r\nx\nCategory:\nnot Category:a"
 
 
-def test_word_pieces_and_lcs(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_word_pieces_and_lcs(spark, monkeypatch, bound):
     from corpuskit.operators import tokens as K
 
+    monkeypatch.setattr(K, "BROADCAST_PIECES", bound)
+
     pieces = spark.createDataFrame([(p,) for p in ("un", "##aff", "##able", "##a", "a", "##ff", "able")], "piece string")
     words = spark.createDataFrame([("unaffable",), ("able",), ("unx",), ("a" * 300,), (None,), ("affa",), ("",), ("able",)], "word string")
     got = K.wordpiece_encode(words, pieces).collect()
