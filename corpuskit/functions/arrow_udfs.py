@@ -4,11 +4,12 @@ No ``from __future__ import annotations`` here: pandas UDF type hints must be
 real types.
 """
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 
 def _lcs(x, y) -> int:
@@ -111,19 +112,17 @@ def byte_map(pieces: pd.Series) -> pd.Series:
     return pieces.apply(lambda s: None if s is None else "".join(_BYTE_MAP[b] for b in s.encode("utf-8")))
 
 
-def _bpe(piece, left, right):
-    """Merges listed by rank, lowest first, until none applies."""
+def _by_rank(piece: str, ranks: dict) -> list:
+    """Symbols of a piece: the pair of the lowest rank is merged, left to right, until none has one."""
     syms = list(piece)
-    ranks = {pair: r for r, pair in reversed(list(enumerate(zip(left, right))))} if left is not None else {}
     while len(syms) > 1:
-        best = min((ranks.get(p, len(ranks)) for p in zip(syms, syms[1:])), default=len(ranks))
-        if best == len(ranks):
+        best = min(zip(syms, syms[1:]), key=lambda pair: ranks.get(pair, float("inf")))
+        if best not in ranks:
             break
-        a, b = left[best], right[best]
         out, i = [], 0
         while i < len(syms):
-            if i + 1 < len(syms) and syms[i] == a and syms[i + 1] == b:
-                out.append(a + b)
+            if tuple(syms[i : i + 2]) == best:
+                out.append(best[0] + best[1])
                 i += 2
             else:
                 out.append(syms[i])
@@ -132,7 +131,55 @@ def _bpe(piece, left, right):
     return syms
 
 
+def _bpe(piece, left, right):
+    """Symbols by merges listed in rank order."""
+    return _by_rank(piece, {pair: r for r, pair in reversed(list(enumerate(zip(left, right))))} if left is not None else {})
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def bpe_apply(pieces: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
     """Symbols of each piece by its own list of merges in rank order."""
     return pd.Series([None if p is None else _bpe(p, l, r) for p, l, r in zip(pieces, left, right)], dtype=object)
+
+
+def text_piece_ids(ranks_bc, ids_bc, unk: int):
+    """Array of raw pieces -> ids of all their symbols by broadcast ``(left, right) -> rank`` and ``token -> id``.
+
+    A piece that is itself a whole token of ``ids_bc["whole"]`` (a user symbol) stays one id.
+    """
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ranks, ids, memo = ranks_bc.value, ids_bc.value["ids"], dict(ids_bc.value["whole"])
+        for batch in batches:
+            if len(memo) > MEMO:
+                memo = dict(ids_bc.value["whole"])
+            out = []
+            for pieces in batch:
+                own = []
+                for p in pieces if pieces is not None else ():
+                    known = memo.get(p)
+                    if known is None:
+                        syms = _by_rank("".join(_BYTE_MAP[b] for b in p.encode("utf-8")), ranks)
+                        known = memo[p] = [ids.get(t, unk) for t in syms]
+                    own += known
+                out.append(own)
+            yield pd.Series(out, dtype=object)
+
+    return encode
+
+
+def _intact(content) -> bool:
+    reader = zlib.decompressobj(31)
+    try:
+        for at in range(0, len(content), 1 << 20):
+            reader.decompress(content[at : at + (1 << 20)])
+    except zlib.error:
+        return False
+    return reader.eof
+
+
+@F.pandas_udf(BooleanType())
+def gzip_intact(contents: pd.Series) -> pd.Series:
+    """Whether each gzip file unpacks to its end."""
+    return contents.map(lambda c: c is not None and _intact(c))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.functions.arrow_udfs import _BYTE_MAP, bpe_apply, byte_map
+from corpuskit.functions.arrow_udfs import _BYTE_MAP, bpe_apply, byte_map, text_piece_ids
 from corpuskit.session import written
 
 # Fixed value: the byte-level pre-split pattern (contractions, letters, numbers, other, spaces).
@@ -241,8 +241,27 @@ def piece_symbols(pieces: DataFrame, merges: DataFrame, piece: str = "piece") ->
     return pieces.join(ranks, piece, "left").select(piece, bpe_apply(F.col(piece), F.col("ranks.left"), F.col("ranks.right")).alias("syms"))
 
 
+#: Merges and tokens that are copied to every task as dictionaries; beyond, pieces meet them in joins.
+BROADCAST_MERGES = 1_000_000
+
+
 def bpe_encode(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text", user_symbols: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, ids)``: pre-split, byte-map and merge every *distinct* piece once, then ids by joins; unknown id 0."""
+    """``(key, ids)`` of every text with a piece; unknown id 0.
+
+    With counted merges and tokens that a task can hold, texts are encoded where they lie, without a
+    shuffle, and a piece seen before is looked up; else each *distinct* piece is merged once by joins.
+    """
+    if max(merges.count(), vocab.count()) > BROADCAST_MERGES:
+        return _encode_by_joins(docs, merges, vocab, key, text, user_symbols)
+    context = docs.sparkSession.sparkContext
+    ids = {r["token"]: r["id"] for r in vocab.toLocalIterator()}
+    ranks = context.broadcast({(r["left"], r["right"]): r["rank"] for r in merges.orderBy(F.col("rank").desc()).toLocalIterator()})
+    known = context.broadcast({"ids": ids, "whole": {s: [ids.get(s, 0)] for s in user_symbols}})
+    pieces = docs.select(key, pre_split(text, user_symbols).alias("pieces")).filter(F.size("pieces") > 0)
+    return pieces.select(key, text_piece_ids(ranks, known, 0)("pieces").alias("ids"))
+
+
+def _encode_by_joins(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key: str, text: str, user_symbols: tuple[str, ...]) -> DataFrame:
     pieces = docs.select(key, F.posexplode(pre_split(text, user_symbols)).alias("pp", "raw"))
     distinct = written(pieces.select("raw").distinct().select("raw", byte_map("raw").alias("piece")), "bpe-pieces")
     symbol = F.col("raw").isin(*user_symbols) if user_symbols else F.lit(False)

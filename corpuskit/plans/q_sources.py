@@ -66,7 +66,7 @@ def q_read_jsonl_text(spark, d):
 
 
 @query("read_wiki_json", "WITH " + Q.ARTICLES_CTE + f"""
-SELECT doc_id % 8 AS shard, {Q.title_of('text')} AS title FROM articles""")
+SELECT doc_id % 8 AS shard, {Q.title_of('text')} AS title, text FROM articles""")
 def q_read_wiki_json(spark, d):
     """Articles grouped into one JSON array per file, several files a shard by size, read back; title = first line."""
     base = A.scratch_dir(spark, "wiki-json")
@@ -75,7 +75,7 @@ def q_read_wiki_json(spark, d):
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"])).alias("value"))
     g.repartition("shard", "salt").write.partitionBy("shard", "salt").text(base)
     r = A.read_wiki_json(spark, base)
-    return r.select(F.regexp_extract("file", r"shard=(\d+)", 1).cast("bigint").alias("shard"), F.substring_index("text", "\n", 1).alias("title"))
+    return r.select(F.regexp_extract("file", r"shard=(\d+)", 1).cast("bigint").alias("shard"), F.substring_index("text", "\n", 1).alias("title"), "text")
 
 
 @query("read_dialog_json", """
@@ -117,15 +117,22 @@ URL_CLASS = r"^https?://[^/]+/([^/?#]+)"
 
 
 @query("read_labeled_folder", f"""
-SELECT DISTINCT class, CAST(dense_rank() OVER (ORDER BY class) - 1 AS INTEGER) AS class_index
-FROM (SELECT DISTINCT regexp_extract(url, '{URL_CLASS}', 1) AS class FROM pages)""")
+WITH p AS (SELECT page_id % 8 AS bucket, regexp_extract(url, '{URL_CLASS}', 1) AS class, octet_length(encode(coalesce(html, ''))) + 1 AS bytes FROM pages),
+f AS (SELECT class, bucket, sum(bytes) AS bytes FROM p GROUP BY class, bucket),
+n AS (SELECT class, count(*) AS files, sum(CASE WHEN bucket = 3 THEN 1 ELSE 0 END) AS broken, sum(CASE WHEN bucket NOT IN (3, 7) THEN bytes END) AS text_bytes FROM f GROUP BY class)
+SELECT class, CAST(dense_rank() OVER (ORDER BY class) - 1 AS INTEGER) AS class_index, files, CAST(broken AS BIGINT) AS broken, CAST(text_bytes AS BIGINT) AS text_bytes FROM n""")
 def q_read_labeled_folder(spark, d):
-    """Pages written as files under ``root/<class>/``; the folder listing is read back."""
+    """Pages as eight files a class, one of them with a byte that is no UTF-8 and one gzipped; the folder is read back and checked."""
     base = A.scratch_dir(spark, "labeled-folder")
-    p = table(spark, d, "pages", "page_id", "url", "html").withColumn("cls", F.regexp_extract("url", URL_CLASS, 1))
-    p.repartition("cls").select("cls", "html").write.partitionBy("cls").text(base)
-    f = A.read_labeled_folder(spark, base, ("txt",))
-    return f.select(F.regexp_replace("class", "^cls=", "").alias("class"), "class_index").distinct()
+    p = table(spark, d, "pages", "page_id", "url", "html").withColumn("bucket", F.col("page_id") % 8)
+    html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    value = F.when(F.col("bucket") == 3, F.concat(html, F.lit(b"\xc3"))).otherwise(html).cast("string")
+    p = p.select(F.regexp_extract("url", URL_CLASS, 1).alias("cls"), "bucket", value.alias("value")).repartition("cls", "bucket")
+    p.filter("bucket <> 7").write.partitionBy("cls", "bucket").text(base)
+    p.filter("bucket = 7").write.mode("append").partitionBy("cls", "bucket").text(base, compression="gzip")
+    files, counts = A.read_labeled_folder(spark, base, ("txt", "gz"))
+    texts = files.filter(F.col("path").endswith(".txt")).groupBy("class").agg(F.sum("bytes").cast("bigint").alias("text_bytes"))
+    return counts.join(texts, "class", "left").withColumn("class", F.regexp_replace("class", "^cls=", ""))
 
 
 @query("write_jsonl_shards", "WITH " + Q.ARTICLES_CTE + f"""

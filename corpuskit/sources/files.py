@@ -9,30 +9,51 @@ tasks that hold it.  ``scratch_dir`` is a folder under the session's
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskit.session import ensure_checkpoint_dir
+from corpuskit.functions import prefix as P
+from corpuskit.functions.arrow_udfs import gzip_intact
+from corpuskit.session import ensure_checkpoint_dir, written
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def _records(spark: SparkSession, path: str, sep: str, glob: str) -> DataFrame:
+    """``(_p, _range, _at, value)``: the parts of each file between separators, read by byte ranges.
+
+    ``_range`` is the start of the byte range that held the record and ``_at`` grows with the record
+    inside it (the scan emits a range's records in order, numbered consecutively within its task).
+    """
+    df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("lineSep", sep).text(path)
+    return df.select(F.col("_metadata.file_path").alias("_p"), F.col("_metadata.file_block_start").alias("_range"), F.monotonically_increasing_id().alias("_at"), "value")
+
+
 def read_text_shards(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """A1: ``(shard, line_no, text)``; one document per line; shard = file name.
 
-    Each file is read whole and split into numbered lines (shard files are
-    bounded; line numbers need the file's order, which a line source loses).
+    A file is read by as many tasks as it has byte ranges.  The lines of each range are counted first
+    (one row a range), so a line's number is the lines of earlier ranges of its file and its place in
+    its own; lines are not shuffled.
     """
-    df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
-    df = df.select(F.col("_metadata.file_path").alias("_p"), "value")
-    lines = F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)
-    return df.select(F.regexp_extract("_p", r"([^/]+)$", 1).alias("shard"), "_p",
-                     F.posexplode(lines).alias("line_no", "text"))
+    lines = _records(spark, path, "\n", glob)
+    per = lines.groupBy("_p", "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = written(per.select("_p", "_range", (before - F.col("_first")).alias("_shift")), "line-ranges")
+    if ranges.count() <= BROADCAST_RANGES:
+        ranges = F.broadcast(ranges)
+    numbered = lines.join(ranges, ["_p", "_range"])
+    return numbered.select(F.regexp_extract("_p", r"([^/]+)$", 1).alias("shard"), "_p", (F.col("_at") + F.col("_shift")).cast("int").alias("line_no"), F.col("value").alias("text"))
+
+
+#: Byte ranges (128 MB each by default) whose counts are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_RANGES = 500_000
 
 
 JSONL_SCHEMA = T.StructType([T.StructField("text", T.StringType())])
@@ -57,24 +78,43 @@ def _has_files(spark, path: str, ext: str) -> bool:
     return False
 
 
-def read_json_arrays(spark: SparkSession, path: str, element_type: str = "array<string>") -> DataFrame:
-    """A3/A4: each file is one JSON array (articles, or dialogs = arrays of utterances);
-    one row per element with its index in the file."""
-    df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    arr = F.from_json("value", element_type)
-    return df.select(F.col("_metadata.file_path").alias("file"), F.posexplode(arr).alias("idx", "item"))
+def json_strings(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Every string of JSON array files: ``(file, nth, opened, commas, text)`` with the ``[`` and ``,`` before it in its file.
+
+    A file is cut at every quote and read by byte ranges.  A quote is escaped if the part before it ends in
+    an odd number of backslashes; the parity of the other quotes before a part, a scan over the ranges of
+    the file, tells whether the part is inside a string.  So one array of any size is read by many tasks.
+    """
+    parts = _records(spark, path, '"', glob)
+    tail = F.length("value") - F.length(F.regexp_replace("value", r"\\+$", ""))
+    d = P.scan(parts, ["_p"], ["_at"], {"_q": ("sum", (tail % 2 == 0).cast("bigint"))}, exclusive=True)
+    outside = F.col("_q") % 2 == 0
+
+    def n(mark):
+        return F.when(outside, F.length("value") - F.length(F.replace("value", F.lit(mark)))).otherwise(0).cast("bigint")
+
+    d = P.scan(d, ["_p"], ["_at"], {"_opened": ("sum", n("[")), "_commas": ("sum", n(","))})
+    pieces = F.array_sort(F.collect_list(F.struct("_range", "_at", "value")))
+    g = d.filter(~outside).groupBy("_p", "_q").agg(pieces.alias("_x"), F.max("_opened").alias("opened"), F.max("_commas").alias("commas"))
+    raw = F.array_join(F.transform("_x", lambda x: x["value"]), '"')
+    text = F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>")[0]
+    return g.select(F.col("_p").alias("file"), ((F.col("_q") - 1) / 2).cast("bigint").alias("nth"), "opened", "commas", text.alias("text"))
 
 
 def read_wiki_json(spark: SparkSession, path: str) -> DataFrame:
-    """A3: article strings; the first line is the title."""
-    a = read_json_arrays(spark, path, "array<string>")
-    return a.select("file", "idx", F.col("item").alias("text"))
+    """A3: ``(file, idx, text)``, files that are one JSON array of article strings; the first line is the title.
+
+    Elements that are no strings count in ``idx`` but give no row.
+    """
+    s = json_strings(spark, path)
+    return s.select("file", F.col("commas").cast("int").alias("idx"), "text")
 
 
 def read_dialog_json(spark: SparkSession, path: str) -> DataFrame:
-    """A4: dialogs as ``(file, idx, turn, utterance)``."""
-    a = read_json_arrays(spark, path, "array<array<string>>")
-    return a.select("file", "idx", F.posexplode("item").alias("turn", "utterance"))
+    """A4: ``(file, idx, turn, utterance)``, files that are one JSON array of dialogs, each an array of strings."""
+    s = json_strings(spark, path)
+    turn = F.row_number().over(Window.partitionBy("file", "opened").orderBy("nth")) - 1
+    return s.select("file", (F.col("opened") - 2).cast("int").alias("idx"), turn.alias("turn"), F.col("text").alias("utterance"))
 
 
 EVIDENCE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -97,24 +137,35 @@ def read_labeled_jsonl(spark: SparkSession, path: str, x_field: str = "text", la
     return spark.read.schema(schema).json(path).select(F.col(x_field).alias("text"), F.col(label_field).alias("label"))
 
 
-def read_labeled_folder(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
-    """``root/class/**/file.ext`` -> ``(path, class, class_index)``; file contents are not read.
+def readable(extension: Column, content: Column) -> Column:
+    """Whether a file's content can be read: texts must be UTF-8, gzip files intact, images start with their format's mark."""
+    head = F.hex(F.substring(content, 1, 4))
+    image = F.when(extension == "png", head == "89504E47").when(extension.isin("jpg", "jpeg"), head.startswith("FFD8FF")).when(extension == "gif", head == "47494638").when(extension == "bmp", head.startswith("424D"))
+    text = F.try_validate_utf8(content.cast("string")).isNotNull()
+    ok = F.when(extension == "gz", gzip_intact(content)).when(extension.isin("txt", "json", "jsonl", "csv", "tsv", "html"), text).otherwise(F.coalesce(image, F.lit(True)))
+    return ok
 
-    class_index = rank of the class name (the reference uses directory order).
-    """
-    import re
 
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    base = re.escape(root.rstrip("/").rsplit("/", 1)[-1])
-    cls = F.regexp_extract("path", base + r"/([^/]+)/", 1)
+def labeled_files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
+    """``(path, class, bytes, ok)`` of ``root/class/**/file.ext``; every file is opened and checked."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = re.escape(re.sub(r"^\w+:/+", "/", root).rstrip("/"))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    d = df.select("path", cls.alias("class"), ext.alias("_e"))
-    d = d.filter(F.col("_e").isin(*[e.lower().lstrip(".") for e in extensions])).drop("_e")
-    classes = d.select("class").distinct()
-    from pyspark.sql import Window
+    d = df.select("path", F.regexp_extract("path", base + r"/([^/]+)/", 1).alias("class"), ext.alias("_e"), "content")
+    d = d.filter(F.col("_e").isin(*[e.lower().lstrip(".") for e in extensions]))
+    return d.select("path", "class", F.octet_length("content").alias("bytes"), readable(F.col("_e"), F.col("content")).alias("ok"))
+
 
-    ci = classes.withColumn("class_index", (F.dense_rank().over(Window.orderBy("class")) - 1).cast("int"))
-    return d.join(F.broadcast(ci), "class")
+def read_labeled_folder(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """``(path, class, class_index, bytes)`` of the readable files, and ``(class, class_index, files, broken)`` counts.
+
+    class_index = rank of the class name among all classes (the reference uses directory order); files that
+    cannot be read are dropped and counted.  Files of no bytes are not listed by Spark and not counted.
+    """
+    files = written(labeled_files(spark, root, extensions), "labeled-files")
+    per = files.groupBy("class").agg(F.count(F.lit(1)).alias("files"), F.sum((~F.col("ok")).cast("bigint")).alias("broken"))
+    counts = per.select("class", (F.dense_rank().over(Window.orderBy("class")) - 1).cast("int").alias("class_index"), "files", "broken")
+    return files.filter("ok").join(counts.select("class", "class_index"), "class").select("path", "class", "class_index", "bytes"), counts
 
 
 def write_jsonl_shards(df: DataFrame, path: str, shard: str = "shard", cols: list[str] | None = None) -> None:

@@ -67,7 +67,9 @@ def test_runs_of_one_symbol(spark):
     assert got == plain_trainer(rows, 40, 1)
 
 
-def test_user_symbols_stay_whole(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_user_symbols_stay_whole(spark, monkeypatch, bound):
+    monkeypatch.setattr(W, "BROADCAST_MERGES", bound)
     text = "hi!<speaker1> you<speaker2><speaker1>x, <speaker1"
     (pieces,) = spark.createDataFrame([(text,)], "text string").select(W.pre_split("text", USER)).first()
     assert "".join(pieces) == text and [p for p in pieces if p in USER] == ["<speaker1>", "<speaker2>", "<speaker1>x"]
