@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str | Column, mod: int) -> Column:
     """``crc32(id as text) mod m``; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import written
+from corpuskit.llm.common import free_name, written
 
 #: Scripts without spaces between words (Thai to Lao, Burmese, Khmer, kana, Han): a letter is a token.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -241,5 +241,6 @@ def judge_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns kept."""
-    found = written(contaminations(docs, benchmark, **how).select(F.col("k").alias("_dc_k")), "contaminated")
-    return docs.withColumn("_dc_k", F.xxhash64(F.col("text").cast("string"))).join(found, "_dc_k", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    k = free_name("_dc_k", docs.columns)
+    found = written(contaminations(docs, benchmark, **how).select(F.col("k").alias(k)), "contaminated")
+    return docs.withColumn(k, F.xxhash64(F.col("text").cast("string"))).join(found, k, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -121,7 +121,11 @@ def _local_shards(parts_of_dictionary: int):
                 for name, kind in kinds[1:]:
                     values = shard[name] if isinstance(shard[name], pa.Array) else pa.array(shard[name], type=kind)
                     columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values))
-                yield pa.RecordBatch.from_arrays(columns, [k for k, _ in kinds])
+                out = pa.RecordBatch.from_arrays(columns, [k for k, _ in kinds])
+                del shard, columns, values
+                yield out
+                del out
+                pa.default_memory_pool().release_unused()
                 lo, made = hi, made + 1
 
     return shards

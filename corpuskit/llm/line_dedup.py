@@ -83,7 +83,7 @@ def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, m
 def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_tokens: int = 5, min_constant: float = 0.7, counts: bool = True) -> DataFrame:
     """``docs`` with recurring lines cut from ``text``, and ``n_lines`` / ``n_dropped`` of each row if ``counts``.
 
-    With ``counts``, columns of those two names in ``docs`` give way to them.
+    With ``counts``, columns of those two names in ``docs``, in any case, give way to them.
     """
     _, by_text = dropped_lines(docs, depth, min_docs, min_tokens, min_constant)
     drops = by_text.groupBy("k").agg(F.collect_set("line").alias("_ld_drop")).withColumnRenamed("k", "_ld_k")
@@ -94,7 +94,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, min
     out = out.withColumn("_ld_kept", F.when(F.col("_ld_drop").isNull(), F.col("_ld_lines")).otherwise(kept))
     cut = F.when(F.col("_ld_drop").isNull(), text).otherwise(F.array_join("_ld_kept", "\n"))
     more = [F.size("_ld_lines").alias("n_lines"), (F.size("_ld_lines") - F.size("_ld_kept")).alias("n_dropped")] if counts else []
-    own = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    own = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_dropped")]
     return out.select(*[cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in own], *more)
 
 

@@ -358,3 +358,19 @@ def test_questions_that_begin_with_names(spark):
     got = {r["doc_id"]: (list(r["item_ids"]), r["share"]) for r in decontam.judge_documents(df, bench).collect()}
     assert {i: v[0] for i, v in got.items()} == {1: [1], 2: [1], 3: [1], 4: [2], 5: [2], 6: [], 7: [1], 8: [1]}
     assert all(got[i][1] == 1.0 for i in (1, 2, 3, 4, 5)) and got[7][1] < 1.0  # one name for two people
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    """Unrelated texts under one id all stay, and columns named like helpers come back as they were."""
+    other = " ".join(f"z{i}" for i in range(60))
+    third = " ".join(f"y{i}" for i in range(60))
+    rows = [(1, BASE, "a", 5, 7), (1, other, "b", 5, 7), (2, BASE.replace("w40 ", ""), "c", 5, 7), (2, third, "d", 5, 7), (None, third + " more", "e", 5, 7), (None, "only " * 9, "f", 5, 7), (3, "", "g", 5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _nj_k string, N_LINES int, _dc_k int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["_nj_k"] for r in kept.collect()) == ["a", "b", "d", "f", "g"]
+    bench = spark.createDataFrame([(1, other)], "item_id bigint, text string")
+    clean = decontam.keep_clean(docs, bench)
+    assert clean.columns == docs.columns and sorted(r["_nj_k"] for r in clean.collect()) == ["a", "c", "d", "e", "f", "g"] and {r["_dc_k"] for r in clean.collect()} == {7}
+    lines = line_dedup.drop_recurring_lines(docs)
+    assert lines.columns == ["doc_id", "text", "_nj_k", "_dc_k", "n_lines", "n_dropped"] and lines.count() == len(rows)
