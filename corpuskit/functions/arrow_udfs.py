@@ -5,11 +5,12 @@ real types.
 """
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType
 
 
 def _lcs(x, y) -> int:
@@ -27,6 +28,61 @@ def _lcs(x, y) -> int:
     return len(y) - row.bit_count()
 
 
+def _lcs_rows(x, y) -> list[int]:
+    """Bit rows of the LCS table: bit j of row i is 0 where the LCS of ``x[:i]`` and ``y[:j + 1]`` is longer than of ``y[:j]``."""
+    places: dict = {}
+    for j, w in enumerate(y):
+        places[w] = places.get(w, 0) | 1 << j
+    row = full = (1 << len(y)) - 1
+    rows = [row]
+    for w in x:
+        hit = row & places.get(w, 0)
+        row = (row + hit | row - hit) & full
+        rows.append(row)
+    return rows
+
+
+def _lcs_places(x, y) -> set[int]:
+    """Places in ``x`` of one LCS with ``y``, found backwards: equal ends match, else the longer table entry is followed, up first if equal."""
+    rows = _lcs_rows(x, y)
+
+    def length(i, j):
+        return j - (rows[i] & (1 << j) - 1).bit_count()
+
+    out, i, j = set(), len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            out.add(i - 1)
+            i, j = i - 1, j - 1
+        elif length(i, j - 1) > length(i - 1, j):
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def _lsum(pred, ref) -> float:
+    """Summary-level ROUGE-L F1 of two lists of sentences."""
+    pred, ref = [list(s) for s in pred if s is not None], [list(s) for s in ref if s is not None]
+    left, there = Counter(w for s in pred for w in s), Counter(w for s in ref for w in s)
+    n, m = sum(left.values()), sum(there.values())
+    hits = 0
+    for sentence in ref:
+        for i in sorted(set().union(*(_lcs_places(sentence, p) for p in pred))) if pred else ():
+            w = sentence[i]
+            if left[w] > 0 and there[w] > 0:
+                left[w] -= 1
+                there[w] -= 1
+                hits += 1
+    return 2 * (hits / n) * (hits / m) / (hits / n + hits / m) if hits else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def lsum_f1(pred: pd.Series, ref: pd.Series) -> pd.Series:
+    """Summary-level ROUGE-L of two arrays of sentences (arrays of words), a pair per row."""
+    return pd.Series([None if p is None or r is None else _lsum(p, r) for p, r in zip(pred, ref)], dtype="float64")
+
+
 @F.pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence length of two word arrays, one pair per row."""

@@ -162,20 +162,21 @@ def lcs_len_udf():
     return lcs_length
 
 
-def rouge_l(df: DataFrame, key: str, pred_words: str, ref_words: str, by_line: bool = False) -> DataFrame:
-    """I11 [spec]: LCS F1; ``by_line`` (ROUGE-Lsum) scores line arrays summed per example."""
-    lcs = lcs_len_udf()
-    if not by_line:
-        l = lcs(F.col(pred_words), F.col(ref_words))
-        lp, lr = F.size(pred_words), F.size(ref_words)
-    else:
-        l = lcs(F.flatten(pred_words), F.flatten(ref_words))
-        lp, lr = F.size(F.flatten(pred_words)), F.size(F.flatten(ref_words))
-    d = df.select(key, l.alias("_l"), lp.alias("_lp"), lr.alias("_lr"))
+def rouge_l(df: DataFrame, key: str, pred_words: str, ref_words: str) -> DataFrame:
+    """I11 [spec]: LCS F1."""
+    d = df.select(key, lcs_len_udf()(F.col(pred_words), F.col(ref_words)).alias("_l"), F.size(pred_words).alias("_lp"), F.size(ref_words).alias("_lr"))
     p, r = _safe_div(F.col("_l"), F.col("_lp")), _safe_div(F.col("_l"), F.col("_lr"))
     return d.select(key, F.when(F.col("_l") == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r)).alias("rougeL"))
 
 
+def rouge_lsum(df: DataFrame, key: str, pred_lines: str, ref_lines: str) -> DataFrame:
+    """I11 [spec]: summary-level ROUGE-L over arrays of sentences (arrays of words): for each reference sentence the
+    union of its LCS with every predicted one, every word counted at most as often as both sides have it."""
+    from corpuskit.functions.arrow_udfs import lsum_f1
+
+    return df.select(key, lsum_f1(pred_lines, ref_lines).alias("rougeLsum"))
+
+
 def geomean(df: DataFrame, cols: list[str], out: str = "geomean") -> DataFrame:
     """I12 [spec]: geometric mean of several scores of one row, ``exp(avg(ln))``."""
     ln = sum(F.log(F.col(c)) for c in cols) / len(cols)

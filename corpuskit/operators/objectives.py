@@ -10,6 +10,8 @@ T5 paper's definitions (the reference only names them).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +29,13 @@ def noise_iid(long: DataFrame, keys: list[str], density: float, seed: int) -> Da
     return long.withColumn("noise", H.u(seed, *keys, "pos") < F.lit(density * H.TWO32))
 
 
-def noise_regular(long: DataFrame, span: int, density: float) -> DataFrame:
-    """F15 [spec]: spans of ``span`` tokens every ``round(span/density)`` positions (at the period's end)."""
-    period = max(span, int(round(span / density)))
-    return long.withColumn("noise", F.pmod(F.col("pos"), F.lit(period)) >= period - span)
+def noise_regular(long: DataFrame, keys: list[str], min_span: int, max_span: int, density: float, seed: int) -> DataFrame:
+    """F15 [spec]: evenly spaced spans; their length is drawn per example from [min, max], the period is
+    ``round(span / density)`` and the spans start at a drawn offset."""
+    span = F.lit(min_span) + H.u(seed, *keys, F.lit("span")) % F.lit(max_span - min_span + 1)
+    d = long.withColumn("_l", span).withColumn("_p", F.greatest(F.col("_l"), F.round(F.col("_l") / F.lit(density)).cast("bigint")))
+    shifted = (F.col("pos") + H.u(seed, *keys, F.lit("offset")) % F.col("_p")) % F.col("_p")
+    return d.withColumn("noise", shifted < F.col("_l")).drop("_l", "_p")
 
 
 def noise_prefix(long: DataFrame, keys: list[str], seed: int) -> DataFrame:
@@ -156,12 +161,19 @@ def concat_groups(ranked: DataFrame, pos: str, tokens: str, group_size: int = 12
     return a.select("group", F.flatten(F.transform("_x", lambda s: s[tokens])).alias(tokens))
 
 
-def split_fixed(df: DataFrame, keys: list[str], tokens: str, length: int) -> DataFrame:
+def split_fixed(df: DataFrame, keys: list[str], tokens: str, length: int | Column) -> DataFrame:
     """F11 [spec]: cut every example into pieces of ``length`` tokens (last may be shorter)."""
-    n = F.size(tokens)
-    k = F.greatest(F.ceil(n / F.lit(length)), F.lit(1)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.slice(tokens, i * length + 1, F.lit(length)))
-    return df.select(*keys, F.posexplode(pieces).alias("piece", tokens))
+    d = df.withColumn("_len", length if isinstance(length, Column) else F.lit(length))
+    k = F.greatest(F.ceil(F.size(tokens) / F.col("_len")), F.lit(1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.slice(tokens, i * F.col("_len") + 1, F.col("_len")))
+    return d.select(*keys, F.posexplode(pieces).alias("piece", tokens))
+
+
+def split_random(df: DataFrame, keys: list[str], tokens: str, min_len: int, max_len: int, seed: int) -> DataFrame:
+    """F11 [spec]: pieces of one length per example, drawn log-uniformly from [min, max)."""
+    lo, hi = math.log(min_len), math.log(max_len)
+    length = F.floor(F.exp(F.lit(lo) + H.unit(seed, *keys, F.lit("split")) * F.lit(hi - lo))).cast("int")
+    return split_fixed(df, keys, tokens, F.greatest(length, F.lit(min_len)))
 
 
 def span_lengths(inputs_length: int, noise_density: float, mean_noise_span_length: float) -> tuple[int, int]:

@@ -11,31 +11,6 @@ from pyspark.sql import functions as F
 
 from corpuskit.operators.mips import MipsSearch
 
-def store_embeddings(store: DataFrame, new: DataFrame, key: str = "vec_id", allow_overwrite: bool = False) -> DataFrame:
-    """H1: add ``new`` rows; an id already present is an error unless ``allow_overwrite``.
-
-    The conflict check is a semi join (shuffle by id); with overwrite, old rows of
-    rewritten ids are removed by an anti join.
-    """
-    clash = new.select(key).join(store.select(key), key, "left_semi")
-    if not allow_overwrite:
-        n = clash.limit(1).count()
-        if n:
-            raise ValueError("embedding ids already stored; pass allow_overwrite=True")
-        return store.unionByName(new)
-    return store.join(new.select(key), key, "left_anti").unionByName(new)
-
-
-def half_precision(df: DataFrame, vec: str = "embedding") -> DataFrame:
-    """Store format: vectors rounded to float16 (Arrow UDF, numpy per batch)."""
-    from pyspark.sql.types import ArrayType, FloatType
-
-    from corpuskit.functions.vectors import to_float16
-
-    udf = F.pandas_udf(to_float16, ArrayType(FloatType()))
-    return df.withColumn(vec, udf(F.col(vec)))
-
-
 def merge_shards(paths: list[str], spark) -> DataFrame:
     """H2: union of worker shards written as separate Parquet folders."""
     return spark.read.parquet(*paths)

@@ -9,6 +9,7 @@ from corpuskit.functions import text as T
 from corpuskit.functions.hashing import sql_u
 from corpuskit.operators import metrics as I
 from corpuskit.operators import shards as D
+from corpuskit.operators.tokens import sentences_of
 from corpuskit.plans import sql_inputs as Q
 from corpuskit.plans.inputs import table
 from corpuskit.plans.q_tokens import DOC_TOK, token_table
@@ -206,13 +207,34 @@ def _rouge_pairs(spark, d):
     return preds.join(r, "item_id").select("item_id", rouge_words("p").alias("pw"), rouge_words("r").alias("rw"))
 
 
-@query("rouge_l")
+LCS_SQL = f"""
+lw AS (SELECT item_id, {RW.format(x='p')} AS pw, {RW.format(x='r')} AS rw FROM preds JOIN rr USING (item_id)),
+lcs(item_id, i, best) AS (SELECT item_id, 0::BIGINT, list_transform(range(0, len(pw) + 1), lambda j: 0::BIGINT) FROM lw
+  UNION ALL SELECT item_id, i + 1, [0::BIGINT] || list_transform(range(1, len(t) + 1), lambda j: list_max(t[1:j])) FROM (
+    SELECT l.item_id, l.i, list_transform(range(1, len(w.pw) + 1), lambda j: greatest(l.best[j + 1], l.best[j] + CASE WHEN w.pw[j] = w.rw[l.i + 1] THEN 1 ELSE 0 END)) AS t
+    FROM lcs l JOIN lw w ON w.item_id = l.item_id AND l.i < len(w.rw)) x),
+ll AS (SELECT w.item_id, l.best[-1] AS l, len(w.pw) AS lp, len(w.rw) AS lr FROM lw w JOIN lcs l ON l.item_id = w.item_id AND l.i = len(w.rw)),
+sl AS (SELECT item_id, CASE WHEN coalesce(l, 0) = 0 THEN 0.0 ELSE 2.0 * (l / lp) * (l / lr) / ((l / lp) + (l / lr)) END AS f FROM ll)"""
+
+
+@query("rouge_l", f"WITH RECURSIVE {REFS_SQL}, rr AS (SELECT item_id, r FROM refs WHERE ref = 0), {LCS_SQL} SELECT item_id, round(f, 6) AS \"rougeL\" FROM sl")
 def q_rouge_l(spark, d):
-    """ROUGE-L F1 per item (Arrow UDF for the LCS); rows-only check plus tests."""
+    """ROUGE-L F1 per item (Arrow UDF for the LCS)."""
     return I.rouge_l(_rouge_pairs(spark, d), "item_id", "pw", "rw").select("item_id", r6("rougeL", "rougeL"))
 
 
-@query("rouge_geomean")
+@query("rouge_lsum")
+def q_rouge_lsum(spark, d):
+    """Summary-level ROUGE-L per item over its sentences; a union of alignments, so rows-only, compared with a plain table in tests."""
+    preds, refs = preds_refs(spark, d)
+    lines = lambda c: F.transform(sentences_of(c), lambda s: rouge_words(s))
+    pair = preds.join(refs.filter(F.col("ref") == 0).select("item_id", "r"), "item_id")
+    return I.rouge_lsum(pair.select("item_id", lines("p").alias("pl"), lines("r").alias("rl")), "item_id", "pl", "rl").select("item_id", r6("rougeLsum", "rougeLsum"))
+
+
+@query("rouge_geomean", f"""WITH RECURSIVE {REFS_SQL}, rr AS (SELECT item_id, r FROM refs WHERE ref = 0), {LCS_SQL}, {_sql_rouge(1)}, {_sql_rouge(2)},
+a AS (SELECT (SELECT avg(f) FROM s1) AS r1, (SELECT avg(f) FROM s2) AS r2, (SELECT avg(f) FROM sl) AS rl)
+SELECT round(r1, 6) AS rouge1, round(r2, 6) AS rouge2, round(rl, 6) AS "rougeL", round(exp((ln(r1) + ln(r2) + ln(rl)) / 3), 6) AS geomean FROM a""")
 def q_rouge_geomean(spark, d):
     """Geometric mean of corpus ROUGE-1, ROUGE-2 and ROUGE-L."""
     pr = _rouge_pairs(spark, d)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from corpuskit.functions import specials as S
-from corpuskit.functions.hashing import sql_u
+from corpuskit.functions.hashing import sql_u, sql_unit
 from corpuskit.operators import objectives as O
 from corpuskit.operators import packing as E
 from corpuskit.plans import sql_inputs as Q
@@ -46,9 +48,16 @@ def q_noise_iid(spark, d):
     return _mask(iid(spark, d))
 
 
-@query("noise_regular", LONG + ", nz AS (SELECT *, pos % 20 >= 17 AS noise FROM e)\n" + _mask_sql("nz"))
+REG_SQL = LONG + f"""
+, rl AS (SELECT *, 1 + {sql_u(SEED, 'doc_id', 'sent_pos', "'span'")} % 5 AS l FROM e),
+rp AS (SELECT *, greatest(l, CAST(round(l / {DENS}) AS BIGINT)) AS per FROM rl),
+nz AS (SELECT *, (pos + {sql_u(SEED, 'doc_id', 'sent_pos', "'offset'")} % per) % per < l AS noise FROM rp)
+"""
+
+
+@query("noise_regular", REG_SQL + _mask_sql("nz"))
 def q_noise_regular(spark, d):
-    return _mask(O.noise_regular(long_tokens(spark, d), 3, DENS))
+    return _mask(O.noise_regular(long_tokens(spark, d), KEYS, 1, 5, DENS, SEED))
 
 
 @query("noise_prefix", LONG + f", nz AS (SELECT *, pos >= 1 + {sql_u(SEED, 'doc_id', 'sent_pos')} % greatest(n - 1, 1) AS noise FROM e)\n" + _mask_sql("nz"))
@@ -146,9 +155,32 @@ def q_split_fixed(spark, d):
     return s.select(*KEYS, F.col("piece").cast("int"), arr_str("tokens").alias("tokens"))
 
 
-@query("noise_random_spans")
+SPLIT_LO, SPLIT_HI = 4, 64
+
+
+@query("split_random", DOC_TOK + f"""
+, l AS (SELECT doc_id, sent_pos, tokens, greatest(CAST(floor(exp({math.log(SPLIT_LO)!r} + {sql_unit(SEED, 'doc_id', 'sent_pos', "'split'")} * {math.log(SPLIT_HI) - math.log(SPLIT_LO)!r})) AS INTEGER), {SPLIT_LO}) AS l FROM tok)
+SELECT doc_id, sent_pos, CAST(i AS INTEGER) AS piece, {Q.arr_str('tokens[i * l + 1 : i * l + l]')} AS tokens
+FROM l, generate_series(0, CAST(greatest(ceil(len(tokens) / CAST(l AS DOUBLE)), 1) AS BIGINT) - 1) g(i)""")
+def q_split_random(spark, d):
+    s = O.split_random(token_table(spark, d), KEYS, "tokens", SPLIT_LO, SPLIT_HI, SEED)
+    return s.select(*KEYS, F.col("piece").cast("int"), arr_str("tokens").alias("tokens"))
+
+
+@query("noise_random_spans", DOC_TOK + f"""
+, b0 AS (SELECT doc_id, sent_pos, concat_ws(':', doc_id, sent_pos) AS key, len(tokens) AS n FROM tok),
+b1 AS (SELECT *, CAST(least(greatest(round_even(n * {DENS}, 0), 1), n - 1) AS BIGINT) AS nn FROM b0),
+b2 AS (SELECT *, least(CAST(greatest(round_even(nn / 3.0, 0), 1) AS BIGINT), nn, n - nn) AS ns FROM b1),
+sd AS (SELECT key, 'keep' AS side, n - nn AS total, ns FROM b2 WHERE n >= 2 UNION ALL SELECT key, 'noise', nn, ns FROM b2 WHERE n >= 2),
+ct AS (SELECT key, side, ns, i, row_number() OVER (PARTITION BY key, side ORDER BY {sql_u(SEED, 'key', 'side', 'i')}, i) AS r FROM (SELECT *, unnest(range(1, total)) AS i FROM sd) x),
+cl AS (SELECT key, side, list(i) AS cuts FROM ct WHERE r < ns GROUP BY key, side),
+sg AS (SELECT key, side, list_sort([0, total] || coalesce(cuts, [])) AS bd FROM sd LEFT JOIN cl USING (key, side)),
+ln AS (SELECT key, side, list_transform(range(1, len(bd)), lambda j: bd[j + 1] - bd[j]) AS lens FROM sg),
+mk AS (SELECT k.key, array_to_string(list_transform(range(1, len(k.lens) + 1), lambda j: repeat('0', k.lens[j]) || repeat('1', z.lens[j])), '') AS mask
+       FROM ln k JOIN ln z ON z.key = k.key AND z.side = 'noise' WHERE k.side = 'keep')
+SELECT doc_id, sent_pos, coalesce(mask, repeat('0', n)) AS mask FROM b2 LEFT JOIN mk USING (key)""")
 def q_noise_random_spans(spark, d):
-    """F14 masks (rows-only check; invariants in tests: counts and alternation)."""
+    """F14 masks."""
     m = O.noise_random_spans(token_table(spark, d), KEYS, DENS, 3.0, SEED)
     return m.select(*KEYS, F.array_join(F.transform("noise", lambda x: F.when(x, "1").otherwise("0")), "").alias("mask"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.hashing import sql_u
 from corpuskit.operators import retrieval as R
+from corpuskit.operators.embedding_store import EmbeddingStore
 from corpuskit.plans.inputs import table
 from corpuskit.plans.registry import query
 from corpuskit.session import ensure_checkpoint_dir
@@ -66,12 +67,21 @@ def q_retrieval_topk_accuracy(spark, d):
     return a.select(*[F.round(c, 6).alias(c) for c in a.columns])
 
 
-@query("store_embeddings", f"SELECT vec_id, label, {NORM_SQL.format(v='embedding')} AS norm FROM embeddings")
+#: A double rounded to IEEE half precision (ties to even; the smallest step is 2^-24).
+HALF_SQL = ("(CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / pow(2.0, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2.0, greatest(floor(log2(abs(x))), -14) - 10) END)")
+
+
+@query("store_embeddings", f"""WITH h AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: {HALF_SQL}) AS v FROM embeddings)
+SELECT vec_id, label, {NORM_SQL.format(v='v')} AS norm, round(list_sum(list_transform(v, lambda x, i: x * i)), 6) AS weighted FROM h""")
 def q_store_embeddings(spark, d):
-    """Vectors with label < 5 form the store, the rest is added (no id clash)."""
+    """Vectors added to a half-precision store in two adds, and a third that overwrites some, read back."""
     e = emb(spark, d)
-    s = R.store_embeddings(e.filter(F.col("label") < 5), e.filter(F.col("label") >= 5))
-    return s.select("vec_id", "label", norm("embedding").alias("norm"))
+    store = EmbeddingStore(spark, os.path.join(ensure_checkpoint_dir(spark), "embedding-store-" + uuid.uuid4().hex))
+    store.add(e.filter(F.col("label") < 5).withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    store.add(e.filter((F.col("label") >= 5) | F.col("label").isNull()))
+    store.add(e.filter(F.col("label") < 5), allow_overwrite=True)
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return store.read().select("vec_id", "label", norm("embedding").alias("norm"), F.round(weighted, 6).alias("weighted"))
 
 
 def _shards(spark, d):
