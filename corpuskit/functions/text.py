@@ -55,9 +55,15 @@ ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CJK_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES) + "]"
 
 
+# What Python's str.strip and str.split take for white space (Java and RE2 read the class alike).
+WS = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Letters, digits and the underscore: what a word border separates from all else.
+WORD = r"[\p{L}\p{N}_]"
+
+
 def strip_ws(c) -> Column:
-    """Python ``str.strip()`` for ASCII whitespace (Spark ``trim`` strips spaces only)."""
-    return F.regexp_replace(_c(c), r"\A\s+|\s+\z", "")
+    """Python ``str.strip()``."""
+    return F.regexp_replace(_c(c), rf"\A{WS}+|{WS}+\z", "")
 
 
 # --- articles (B1-B5) -------------------------------------------------------
@@ -123,30 +129,56 @@ def space_cjk(c) -> Column:
     return F.regexp_replace(_c(c), "(" + CJK_CLASS + ")", " $1 ")
 
 
+# Hangul syllables are arithmetic: first code point, and the leading, middle and trailing letters they decompose to.
+HANGUL, LEADS, VOWELS, TAILS = 0xAC00, range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)
+
+
 @lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
-    """Translate table for NFD-then-drop-Mn, built by rule from ``unicodedata``.
+def _accent_table() -> tuple[str, str, dict[str, str]]:
+    """NFD without marks (Mn) of every character that it changes, by rule from ``unicodedata``.
 
-    Covers Latin, Greek and Cyrillic blocks (U+00C0-U+04FF, U+1E00-U+1FFF): each
-    code point whose decomposition is one base char plus combining marks maps to
-    the base; combining marks U+0300-U+036F map to nothing.
+    Two strings for ``translate``, characters with a base of one character first and dropped ones behind, and the
+    few that become several characters; Hangul syllables are left out.
     """
-    src, dst, drop = [], [], []
-    for cp in list(range(0xC0, 0x500)) + list(range(0x1E00, 0x2000)):
+    src, dst, drop, several = [], [], [], {}
+    for cp in range(0x80, 0x110000):
+        if HANGUL <= cp < HANGUL + 11172 or 0xD800 <= cp < 0xE000:
+            continue
         ch = chr(cp)
         stripped = "".join(x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
-        if stripped != ch and len(stripped) == 1:
+        if stripped == ch:
+            continue
+        if not stripped:
+            drop.append(ch)
+        elif len(stripped) == 1:
             src.append(ch)
             dst.append(stripped)
-    for cp in range(0x300, 0x370):
-        drop.append(chr(cp))
-    return "".join(src) + "".join(drop), "".join(dst)
+        else:
+            several[ch] = stripped
+    return "".join(src) + "".join(drop), "".join(dst), several
+
+
+def _hangul_letters(ch: Column) -> Column:
+    at = F.ascii(ch) - HANGUL
+    letters = [("".join(map(chr, LEADS)), F.floor(at / 588)), ("".join(map(chr, VOWELS)), F.floor(at % 588 / 28)), ("".join(map(chr, TAILS)), at % 28 - 1)]
+    return F.concat(*[F.when(i >= 0, F.lit(table).substr((i + 1).cast("int"), F.lit(1))).otherwise(F.lit("")) for table, i in letters])
+
+
+def strip_accents(c, seen=None) -> Column:
+    """NFD, then drop combining marks (Mn), for every script; ``translate`` in the JVM, and character by character
+    only for texts that hold Hangul syllables or another character that becomes several.  ``seen`` is a cheaper
+    column that holds such a character whenever ``c`` does."""
+    src, dst, several = _accent_table()
+    t = F.translate(_c(c), src, dst)
+    pairs = F.create_map(*[F.lit(x) for kv in several.items() for x in kv]) if several else None
 
+    def letters(ch):
+        code = F.ascii(ch)
+        whole = F.when((code >= HANGUL) & (code < HANGUL + 11172), _hangul_letters(ch))
+        return (whole.otherwise(F.coalesce(F.try_element_at(pairs, ch), ch)) if several else whole.otherwise(ch))
 
-def strip_accents(c) -> Column:
-    """NFD then drop combining marks, as a JVM ``translate`` (no Python worker)."""
-    src, dst = _accent_table()
-    return F.translate(_c(c), src, dst)
+    special = "[" + "".join(several) + "\uac00-\ud7a3]"
+    return F.when(_c(c if seen is None else seen).rlike(special), F.array_join(F.transform(F.split(t, ""), letters), "")).otherwise(t)
 
 
 def pad_punctuation(c) -> Column:
@@ -156,24 +188,24 @@ def pad_punctuation(c) -> Column:
 
 def split_ws(c) -> Column:
     """Whitespace split with empties removed (Python ``str.split()``)."""
-    return F.filter(F.split(_c(c), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(_c(c), WS + "+"), lambda w: w != "")
 
 
 def basic_tokens(c, lower: bool = True) -> Column:
     """C4: clean -> CJK spacing -> lower/strip accents -> punctuation split -> words."""
     t = space_cjk(clean_text(c))
     if lower:
-        t = strip_accents(F.lower(t))
+        t = strip_accents(F.lower(t), c)
     return split_ws(pad_punctuation(t))
 
 
 # --- evaluation-side normalisation (B14-B22) --------------------------------
 
 def normalize_answer(c) -> Column:
-    """Lower -> drop ASCII punctuation -> drop articles -> collapse whitespace."""
+    """Lower -> drop ASCII punctuation -> drop articles between word borders -> collapse whitespace."""
     t = F.translate(F.lower(_c(c)), ASCII_PUNCTUATION, "")
-    words = split_ws(t)
-    return F.array_join(F.filter(words, lambda w: ~w.isin(*ANSWER_ARTICLES)), " ")
+    t = F.regexp_replace(t, rf"(?<!{WORD})({'|'.join(ANSWER_ARTICLES)})(?!{WORD})", " ")
+    return F.array_join(split_ws(t), " ")
 
 
 def clean_prediction(c) -> Column:

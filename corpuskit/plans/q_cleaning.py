@@ -112,8 +112,11 @@ def q_split_punctuation(spark, d):
 
 
 def _sql_normalize(x: str) -> str:
-    tr = "translate(lower(%s), '%s', '')" % (x, T.ASCII_PUNCTUATION.replace("'", "''"))
-    return f"array_to_string(list_filter({Q.split_ws(tr)}, lambda w: w NOT IN ('a', 'an', 'the')), ' ')"
+    """RE2 has no look-around: borders are captured, and a second pass takes the articles whose border the first one used."""
+    t = "translate(lower(%s), '%s', '')" % (x, T.ASCII_PUNCTUATION.replace("'", "''"))
+    for _ in range(2):
+        t = f"regexp_replace({t}, '(^|{T.WORD.replace('[', '[^')})({'|'.join(T.ANSWER_ARTICLES)})($|{T.WORD.replace('[', '[^')})', '\\1 \\3', 'g')"
+    return f"array_to_string({Q.split_ws(t)}, ' ')"
 
 
 @query("normalize_answer", f"SELECT item_id, {_sql_normalize('text')} AS answer FROM benchmark")

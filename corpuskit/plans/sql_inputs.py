@@ -26,7 +26,7 @@ turns AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '<speaker1>' WHEN 'as
 
 
 def strip_ws(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{T.WS}+|{T.WS}+$', '', 'g')"
 
 
 def title_of(x: str) -> str:
@@ -63,7 +63,7 @@ def pad_punctuation(x: str) -> str:
 
 
 def split_ws(x: str) -> str:
-    return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({x}, '{T.WS}+'), lambda w: w <> '')"
 
 
 def basic_tokens(x: str) -> str:
