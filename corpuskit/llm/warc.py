@@ -68,14 +68,23 @@ def parse_record(record: bytes) -> tuple:
     return page("WARC-Record-ID"), fields["WARC-Target-URI"], length, fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], page("WARC-Refers-To"), payload
 
 
-def build_dictionary(pages: DataFrame, sample_records: int, sample_bytes: int, size: int) -> bytes:
-    """Dictionary from at most ``sample_records`` records (by hash order) of ``sample_bytes`` payload bytes."""
+def build_dictionary(pages: DataFrame, n_pages: int, sample_records: int, sample_bytes: int, size: int) -> bytes:
+    """Dictionary from at most ``sample_records`` records (by hash order) of ``sample_bytes`` payload bytes.
+
+    About four times as many hashes are ordered alone, below a threshold; then the payloads of those records are
+    cut in their tasks.
+    """
     import zstandard
 
-    rows = pages.orderBy(F.xxhash64("digest", "page_id")).limit(sample_records).select("page_id", "url", F.substring("payload", 1, sample_bytes).alias("payload")).collect()
-    samples = [warc_record(r["page_id"], r["url"], bytes(r["payload"]), None) for r in rows]
-    if not samples:
+    share = min(1.0, 4 * sample_records / max(n_pages, 1))
+    few = pages.withColumn("h", F.xxhash64("digest", "page_id")).filter(F.shiftrightunsigned("h", 32) <= int(share * 2**32))
+    order = F.shiftrightunsigned("h", 1)
+    hashes = [r[0] for r in few.select(order.alias("o")).orderBy("o").limit(sample_records).collect()]
+    if not hashes:
         return b""
+    chosen = few.filter(order <= hashes[-1]).select("page_id", "url", F.substring("payload", 1, sample_bytes).alias("payload"))
+    rows = sorted(chosen.limit(2 * sample_records).collect(), key=lambda r: (r["page_id"] is None, r["page_id"]))[:sample_records]
+    samples = [warc_record(r["page_id"], r["url"], bytes(r["payload"]), None) for r in rows]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too few or too alike for training: their bytes serve as they are
@@ -88,8 +97,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, level: int = 3,
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     groups = p.filter(F.length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND last IS NOT NULL").drop("n")
-    total = p.agg(F.sum(F.length("payload"))).first()[0] or 0
-    dictionary = build_dictionary(p, sample_records, sample_bytes, dict_size)
+    total, n_pages = p.agg(F.coalesce(F.sum(F.length("payload")), F.lit(0)), F.count(F.lit(1))).first()
+    dictionary = build_dictionary(p, n_pages, sample_records, sample_bytes, dict_size)
     head = struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary if dictionary else b""
 
     def frames(batches):
