@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -155,6 +156,22 @@ def _jaccard_classes(docs):
     return sets, root
 
 
+def test_jaccard_verification_sends_texts_to_hubs_in_parts(spark, monkeypatch):
+    """The end in more pairs is the hub, its partners meet it in bounded parts, and pairs below the threshold go."""
+    monkeypatch.setattr(jaccard, "MOST_LEAVES", 4)
+    text = lambda i: " ".join(f"x{i}" if j == 20 else f"w{j}" for j in range(60))
+    texts = {i: text(i) for i in range(40)} | {99: " ".join(f"v{j}" for j in range(60))}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] * 2, "k bigint, text string")
+    pairs = [(0, i) for i in range(1, 20)] + [(i, 0) for i in range(20, 40)] + [(99, 0), (1, 2), (99, 3)]
+    pairs = spark.createDataFrame([(a, b, a, b) for a, b in pairs], "a bigint, b bigint, ka bigint, kb bigint")
+    rows = jaccard._grouped(pairs).collect()
+    of = collections.Counter((r["hub"], r["part"]) for r in rows if r["leaf"])
+    assert sum(of.values()) == 42 and max(of.values()) < 16 and len({p for h, p in of if h == 0}) > 4
+    assert all(sum(not r["leaf"] for r in rows if (r["hub"], r["part"]) == at) == 1 for at in of)
+    got = jaccard._verified(pairs, docs, 5, Fraction(3, 4)).collect()
+    assert sorted((min(r), max(r)) for r in got) == sorted([(0, i) for i in range(1, 40)] + [(1, 2)])
+
+
 def test_jaccard_join(spark, documents, odd, none):
     rng = np.random.default_rng(2)
     made = []

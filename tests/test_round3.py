@@ -1,7 +1,9 @@
 """Half-precision store, summary-level ROUGE, regular and random spans, random splits."""
 
 import collections
+import glob
 import random
+import time
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from corpuskit.functions import arrow_udfs
 from corpuskit.operators import metrics as I
 from corpuskit.operators import objectives as O
 from corpuskit.operators.embedding_store import EmbeddingStore
+from corpuskit.session import written
 
 
 def test_store_is_half_precision_and_detects_conflicts(spark, tmp_path):
@@ -100,3 +103,17 @@ def test_regular_and_random_spans(spark):
         assert [t for p in r["x"] for t in p["tokens"]] == list(range(200)) and len({len(p["tokens"]) for p in r["x"][:-1]}) == 1
         sizes[len(r["x"][0]["tokens"])] += 1
     assert min(sizes) >= 5 and max(sizes) < 50 and len(sizes) > 15
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """A written table's shuffle files go when the write ends; the setting for it is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, root = spark.conf.get(name), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in root for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    old = files()
+    t = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k"), "seven")
+    for _ in range(100):  # they go in the background
+        if not files() - old:
+            break
+        time.sleep(0.1)
+    assert not files() - old and spark.conf.get(name) == before and t.count() == 7
