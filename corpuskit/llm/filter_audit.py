@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.llm.common import written
+from corpuskit.session import with_conf
 
 #: Bytes of text in one shard; bounds a task's memory and the length of a shard's arrays.
 SHARD_BYTES = 4 << 20
 SHARD_ROWS = 1 << 18
+#: Bytes of text for each part of the dictionary; bounds the words that one task numbers, whatever the input's size.
+PART_BYTES = 64 << 20
+#: Shards that go to Python at once.
+SHARDS_AT_ONCE = 4
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
@@ -134,9 +140,9 @@ def _local_shards(parts_of_dictionary: int):
 def _numbered(blocks: pa.Table) -> pa.Table:
     """Numbers the words of one part over all shards, by first use in the order of the shards."""
     blocks = blocks.sort_by("shard")
-    split = [b.split(b"\n") for b in blocks["words"].to_pylist()]
-    words = pa.array(itertools.chain.from_iterable(split), type=pa.binary()).dictionary_encode()
-    cuts = np.cumsum([0] + [len(s) for s in split])
+    split = pc.split_pattern(blocks["words"].combine_chunks(), "\n")  # no object per word
+    cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+    words = split.flatten().dictionary_encode()
     ranks = words.indices.to_numpy(zero_copy_only=False).astype("<i4")
     n = len(words.dictionary)
     return pa.table({"shard": blocks["shard"], "part": blocks["part"], "ranks": pa.array([ranks[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], type=pa.binary()),
@@ -149,7 +155,8 @@ def document_term_shards(docs: DataFrame) -> DataFrame:
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(source, F.lit("")).alias("part"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(size / PART_BYTES))
     local = written(rows.mapInArrow(_local_shards(parts), LOCAL), "csr-local")
     blocks = local.select("shard", F.posexplode("blocks").alias("part", "words")).filter(F.octet_length("words") > 0)
     numbered = written(blocks.groupBy("part").applyInArrow(lambda own: _numbered(own), NUMBERED), "csr-numbers")
@@ -192,6 +199,8 @@ def document_flags(docs: DataFrame, min_words: int = 200, min_distinct: int = 50
     shards = document_term_shards(docs).withColumn("m", _row_totals("indptr", "indices", "counts"))
     cells = F.explode(F.arrays_zip("doc_id", "part", "digest", "c", "d", "m")).alias("r")
     r = shards.select(cells).select("r.doc_id", "r.part", "r.digest", "r.m.words", "r.m.distinct", "r.c", "r.d")
+    with with_conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(SHARDS_AT_ONCE)):
+        r = written(r, "audit-rows")
     return r.select("doc_id", "part", "digest", "words", "distinct", (F.col("words") < min_words).alias("a"),
                     (100 * F.col("distinct") < min_distinct * F.col("words")).alias("b"), "c", "d")
 

@@ -83,3 +83,15 @@ def test_empty_and_missing_columns(spark):
     bare = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
     out = filter_audit.audit_filters(bare, labels)
     assert out.count() == 600 and out.select(F.max("part")).first()[0] == ""
+
+
+def test_parts_of_the_dictionary_grow_with_the_input(spark, monkeypatch):
+    """A task numbers the words of a bounded part, however few the shuffle partitions; flags do not depend on it."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(60)), "s") for i in range(40)], "doc_id bigint, text string, source string").repartition(2)
+    keys = lambda d: sorted((r["doc_id"], r["words"], r["distinct"], r["a"], r["b"]) for r in d.collect())
+    one = keys(filter_audit.document_flags(docs))
+    monkeypatch.setattr(filter_audit, "PART_BYTES", 256)
+    seen, real = [], filter_audit._local_shards
+    monkeypatch.setattr(filter_audit, "_local_shards", lambda parts: seen.append(parts) or real(parts))
+    assert keys(filter_audit.document_flags(docs)) == one and seen[0] > 20
+    assert [r[1] for r in one] == [60] * 40 and [r[2] for r in one] == [len({(i * j) % 97 for j in range(60)}) for i in range(40)]
