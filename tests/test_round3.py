@@ -117,3 +117,28 @@ def test_written_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not files() - old and spark.conf.get(name) == before and t.count() == 7
+
+
+def test_word_index_and_encoding_where_sentences_lie(spark, monkeypatch):
+    """Sentences are encoded without a row per word; the result equals the join's, also for unknown words, repeated and null keys."""
+    import pyarrow as pa
+
+    from corpuskit.operators import tokens as K
+
+    index = arrow_udfs.word_index(pa.array(["b", "a", "é"]), pa.array([5, 4, 6], pa.int32()))
+    words = pa.array([["x"], ["a", "zz", "b"], None, [], ["é", "a"]]).slice(1)
+    assert arrow_udfs._word_ids(words, index, 1).to_pylist() == [[4, 1, 5], None, [], [6, 4]]
+    twice = (*index[:3], {"zz": 9})  # as a word whose hash another one has
+    assert arrow_udfs._word_ids(words, twice, 1).to_pylist() == [[4, 9, 5], None, [], [6, 4]]
+    empty = arrow_udfs.word_index(pa.array([], pa.string()), pa.array([], pa.int32()))
+    assert arrow_udfs._word_ids(words, empty, 1).to_pylist() == [[1, 1, 1], None, [], [1, 1]]
+    rows = [(1, "One two. Three two! "), (2, None), (3, ""), (4, "..  ?"), (None, "two one"), (5, "new word. one"), (5, "new word. one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    vocab = K.build_word_vocab(docs.filter("doc_id < 5 OR doc_id IS NULL"))
+    fast = K.encode_corpus(docs, vocab)
+    assert "collect_list" not in fast._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(K, "BROADCAST_VOCAB_ROWS", 0)
+    slow = K.encode_corpus(docs, vocab)
+    assert fast.schema.simpleString() == slow.schema.simpleString()
+    key = lambda r: (r["doc_id"] or 0, r["sent_pos"])
+    assert sorted(fast.collect(), key=key) == sorted(slow.collect(), key=key)

@@ -45,3 +45,15 @@ def test_basic_tokens_of_hangul_and_hebrew(spark):
     assert w == [unicodedata.normalize("NFD", "\ud55c\uad6d"), "\u05e9\u05dc\u05d5\u05dd", "!", "ete"]
     (n,) = spark.createDataFrame([([text] * 3,)], "x array<string>").select(F.transform("x", lambda x: T.basic_tokens(x))).first()
     assert n == [w] * 3
+
+
+def test_special_characters_are_looked_for_after_a_plain_range(spark):
+    """Every character from the first special one on passes the cheap test; the result is that of ``unicodedata``."""
+    texts = ["plain", "café naïve", "˿", "̈́", "각x", "aक़b", "\U0001d15e", "ẛ̣", "", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    col = T.strip_accents("t")
+    first = min(map(ord, T._accent_table()[2]))
+    assert rf"[^\x00-\x{{{first - 1:X}}}]" in d.select(col)._jdf.queryExecution().analyzed().toString()
+    got = {r["i"]: r["x"] for r in d.select("i", col.alias("x")).collect()}
+    want = [None if t is None else "".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn") for t in texts]
+    assert [got[i] for i in range(len(texts))] == want
