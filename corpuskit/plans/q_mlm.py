@@ -147,7 +147,7 @@ def samples(spark, d):
     """E4 -> E8 -> E9 (to the block's target) -> E10 over word pieces, written: the masks read it many times."""
     tok, first, end = M.piece_table(table(spark, d, "documents", "doc_id", "text"), PIECES)
     blocks = E.sentence_blocks(tok, "doc_id", TARGET, MIN_SENT, SHORT_P, SEED)
-    sents = E.block_sentences(blocks, tok).join(blocks.select(*DOC, "target"), DOC)
+    sents = E.block_sentences(blocks, tok, more=("target",))
     key = F.concat_ws(":", *DOC)
     pair = E.truncate_pair(E.segment_pair(sents, SEED, key), SEED, key, F.col("target"))
     x = E.tokens_and_types(pair).select(*DOC, "is_random", "target", "tokens", "tokentypes")
