@@ -48,6 +48,25 @@ def test_only_words_beyond_the_index_are_joined(spark, monkeypatch):
     assert joined[0] == vocab.count() and 0 < joined[-1] < 40
 
 
+def test_texts_are_tokenized_once(spark, monkeypatch):
+    odd = ["One two. Three a\x1fb c! ", "\x1f", "a\x1f", "x. \x1f. Y", "ΟΔΟΣ. ΟΔΟΣ", "\u200b. a", "", None, "same 한. é\x85z", "same 한. é\x85z"]
+    docs = spark.createDataFrame(list(enumerate(odd)) + [(None, "null key. b"), (30, "again x.\ny")], "doc_id bigint, text string")
+    lines = K.written(K.tokenized(docs), "tokenized")
+    want = K.build_word_vocab(docs, counts=True)
+    got = K.build_word_vocab(docs, counts=True, lines=lines)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "ab" in {r["word"] for r in got.collect()}  # of the whole text; its sentences have a and b
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    plain = rows(K.encode_corpus(docs, want))
+    calls = []
+    inner = T.basic_tokens
+    monkeypatch.setattr(T, "basic_tokens", lambda *a: (calls.append(a), inner(*a))[1])
+    assert rows(K.encode_corpus(docs, got, lines=lines)) == plain
+    monkeypatch.setattr(K, "BROADCAST_VOCAB_ROWS", 3)
+    assert rows(K.encode_corpus(docs, got, lines=lines)) == plain
+    assert not calls
+
+
 def test_noise_in_arrays_equals_long_form(spark):
     rng = random.Random(4)
     df = spark.createDataFrame([(k, [rng.randint(100, 999) for _ in range(rng.randint(0, 40))]) for k in range(80)] + [(None, [7, 8])], "k int, tokens array<int>")
