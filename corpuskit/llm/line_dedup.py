@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from corpuskit.llm.common import written
 
+MOST_BROADCAST = 2_000_000  # texts, a number each
+
 
 def line_tokens(line: Column) -> Column:
     """Tokens between blanks, tabs and carriage returns."""
@@ -61,9 +63,12 @@ def dropped_lines(docs: DataFrame, depth: int, min_docs: int, min_tokens: int, m
     hot = known.groupBy("leaf").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
     held = written(known.join(hot, "leaf", "left_semi"), "lines-hot")
 
-    distinct = held.groupBy("leaf", "line").agg(F.count_distinct("k").alias("docs"), F.min("k").alias("k"))
+    distinct = written(held.groupBy("leaf", "line").agg(F.count_distinct("k").alias("docs"), F.min("k").alias("k")), "lines-distinct")
     # one text of each line gives its mask, so a line that very many texts share does not meet in one task
-    masks = parsed.select("k", F.xxhash64("mask").alias("line"), "mask").join(distinct.select("k", "line"), ["k", "line"], "left_semi").groupBy("line").agg(F.min("mask").alias("mask"))
+    givers = distinct.select(F.col("k").alias("_ld_k")).distinct()
+    if distinct.count() <= MOST_BROADCAST:  # only the texts that give a mask are parsed again; else all, and a shuffle join picks
+        docs = docs.join(F.broadcast(givers), F.xxhash64(F.col("text").cast("string")) == F.col("_ld_k"), "left_semi")
+    masks = _parsed(docs, min_tokens).select("k", F.xxhash64("mask").alias("line"), "mask").join(distinct.select("k", "line"), ["k", "line"], "left_semi").groupBy("line").agg(F.min("mask").alias("mask"))
     whole = written(distinct.drop("k").join(masks, "line"), "line-masks")
     at = whole.select("leaf", "line", "docs", F.posexplode(F.split("mask", " ")).alias("pos", "token"))
     rare = at.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"))
@@ -90,7 +95,8 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, min
     text = F.col("text").cast("string")
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     kept = F.filter(F.col("_ld_lines"), lambda x: ~F.array_contains(F.col("_ld_drop"), F.xxhash64(masked_line(x))))
-    out = docs.withColumn("_ld_k", F.xxhash64(text)).join(drops, "_ld_k", "left").withColumn("_ld_lines", lines)
+    # one way of joining at all sizes, so the disk taken grows as the texts do
+    out = docs.withColumn("_ld_k", F.xxhash64(text)).join(drops.hint("merge"), "_ld_k", "left").withColumn("_ld_lines", lines)
     out = out.withColumn("_ld_kept", F.when(F.col("_ld_drop").isNull(), F.col("_ld_lines")).otherwise(kept))
     cut = F.when(F.col("_ld_drop").isNull(), text).otherwise(F.array_join("_ld_kept", "\n"))
     more = [F.size("_ld_lines").alias("n_lines"), (F.size("_ld_lines") - F.size("_ld_kept")).alias("n_dropped")] if counts else []

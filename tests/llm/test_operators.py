@@ -235,6 +235,20 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.drop_recurring_lines(none).count() == 0
 
 
+def test_line_dedup_parses_only_texts_that_give_a_mask_again(spark, monkeypatch):
+    notes = [(i, f"Own line {'abcdefgh'[i % 8]}{'xyz'[i % 3]} of this text here\nPage {i} of 90 printed on {i} May", None) for i in range(40)]
+    docs = spark.createDataFrame(notes + [(50, None, 1), (51, "", 1), (None, notes[3][1], 1)], "doc_id bigint, text string, k int")
+    seen, inner = [], line_dedup._parsed
+    monkeypatch.setattr(line_dedup, "_parsed", lambda d, n: (seen.append(d.count()), inner(d, n))[1])
+    out = line_dedup.drop_recurring_lines(docs)
+    few = sorted(map(str, out.collect()))
+    assert seen[0] == 43 and 0 < seen[1] < 20
+    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", 0)
+    assert sorted(map(str, line_dedup.drop_recurring_lines(docs).collect())) == few and seen[3] == 43
+    assert sum("n_dropped=1" in x for x in few) == 41
+
+
 def test_warc_round_trip(spark, none):
     pages = [(1, "http://a", "<p>same</p>"), (9, "http://b", "<p>same</p>"), (9, "http://b", "<p>same</p>"), (2, None, None), (3, "u\r\nv", ""), (None, "x", "<p>same</p>"), (4, "long", "é" * 300_000),
              (5, "crlf", "a\r\n\r\nb\nWARC/1.1\r\n\r\n")] + [(i, f"http://h/{i}", f"<html>page {i} {'body ' * (i % 50)}</html>") for i in range(100, 400)]
