@@ -91,3 +91,21 @@ def test_block_sentences_shuffle_token_arrays_once(spark):
     want = sorted((b["doc_id"], b["block"], [sents[b["doc_id"], p] for p in range(b["start_sent"], b["end_sent"])], b["target"]) for b in blocks.collect() if b["doc_id"] is not None)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 30
     assert "Join" not in plan(got)
+
+
+def test_lines_of_plain_texts_are_cut_at_once(spark, monkeypatch):
+    rng = random.Random(5)
+    parts = [chr(c) for c in [*range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C2)]] + [" ", "\n", "\t", "\r", ". ", "!\n", "? ", "word", "Été", "\x1f", " ", "日", "한"]
+    odd = ["", " ", "\n\t", ".", ". ", " . . ", "a.b. c", "A!? B\r\n.C", "İI ŒSS ſ Ⱥ", "end. ", "\x1fa. b", "a\x00b", None, "x" * 3000]
+    odd += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(1500)] + [f"a{c}B {c}." for c in parts]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string").repartition(3)
+    ready = K.A.plain_lines(*T.plain_table())("text")
+    plain = docs.select("doc_id", ready.isNotNull().alias("ready"), F.coalesce(F.col("text").rlike(T.PLAIN), F.lit(False)).alias("plain"))
+    assert plain.filter("ready <> plain").count() == 0 and plain.filter("ready").count() > 1000
+    sents = docs.select("doc_id", F.posexplode(K.sentences_of("text")).alias("_p", "_sent"))
+    want = sorted(map(tuple, sents.select("doc_id", "_p", F.array_join(long_way(F.col("_sent")), " ")).collect()))
+    for chunk in (1, 100, 1 << 20):
+        monkeypatch.setattr(K.A, "CHUNK", chunk)
+        assert sorted(map(tuple, K.tokenized(docs).select("doc_id", "_p", "_line").collect())) == want
+    whole = [(i, " ".join(w)) for i, w in docs.select("doc_id", long_way(F.col("text"))).collect() if w]
+    assert sorted(r[:2] for r in K.tokenized(docs, split=False).filter("_line <> ''").select("doc_id", "_line").collect()) == sorted(whole)
