@@ -78,3 +78,16 @@ def test_front_cuts_equal_coins(spark):
             cut = sum(coin[r["k"], side, j] for j in range(1, len(own) - len(left) + 1))
             assert left == own[cut : cut + len(left)]
         assert len(r["tokens_a"]) + len(r["tokens_b"]) == min(20, 3 * r["k"])
+
+
+def test_words_of_ids_are_looked_up_in_place(spark, monkeypatch):
+    vocab = spark.createDataFrame([(100 + i, f"w{i}") for i in range(40)] + [(7, "seven")], "id int, word string")
+    rows = [(k, 0, [100 + (k * i * i) % 45 for i in range(k % 13)] + [1, 7, None][: k % 4]) for k in range(60)] + [(None, 1, [101]), (99, 2, None), (98, 0, [])]
+    tok = spark.createDataFrame(rows, "doc_id long, sent_pos int, tokens array<int>")
+    words = {r["id"]: r["word"] for r in vocab.collect()}
+    want = sorted(((k, p, [words.get(t, "[UNK]") for t in ts]) for k, p, ts in rows if ts), key=str)
+    got = K.tokens_from_ids(tok, vocab, ["doc_id", "sent_pos"])
+    assert "Exchange" not in plan(got) and sorted(map(tuple, got.collect()), key=str) == want
+    for most in (0, 3, 40):
+        monkeypatch.setattr(K, "BROADCAST_VOCAB_ROWS", most)
+        assert sorted(map(tuple, K.tokens_from_ids(tok, vocab, ["doc_id", "sent_pos"]).collect()), key=str) == want
