@@ -41,9 +41,11 @@ from corpuskit.session import with_conf
 SHARD_BYTES = 4 << 20
 SHARD_ROWS = 1 << 18
 #: Bytes of text for each part of the dictionary; bounds the words that one task numbers, whatever the input's size.
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 #: Shards that go to Python at once.
 SHARDS_AT_ONCE = 4
+#: Bytes of texts that go to Python at once.
+BATCH_BYTES = 32 << 20
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
@@ -149,56 +151,71 @@ def _numbered(blocks: pa.Table) -> pa.Table:
                      "distinct": pa.array([n] * blocks.num_rows, type=pa.int32())})
 
 
-def document_term_shards(docs: DataFrame) -> DataFrame:
-    """CSR shards of the document-term matrix: ``META`` and ``indices array<bigint>``, columns numbered over the whole table."""
+def _coded_shards(docs: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """Shards with their own word numbers (``META`` and ``indices``), the parts of the dictionary ``used`` and the ``ranks`` of
+    their words in each, and how many words are in the parts before each part."""
     spark = docs.sparkSession
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(source, F.lit("")).alias("part"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(size / PART_BYTES))
-    local = written(rows.mapInArrow(_local_shards(parts), LOCAL), "csr-local")
+    few = {"parquet.block.row.count.limit": SHARDS_AT_ONCE}  # writers and readers hold a row group at once
+    with with_conf(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES)):
+        local = written(rows.mapInArrow(_local_shards(parts), LOCAL), "csr-local", **few)
     blocks = local.select("shard", F.posexplode("blocks").alias("part", "words")).filter(F.octet_length("words") > 0)
     numbered = written(blocks.groupBy("part").applyInArrow(lambda own: _numbered(own), NUMBERED), "csr-numbers")
     before, n = {}, 0
     for r in numbered.groupBy("part").agg(F.max("distinct").alias("n")).orderBy("part").collect():  # as many rows as shuffle partitions
         before[r["part"]], n = n, n + r["n"]
+    back = numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("part", "ranks"))).alias("x"))
+    back = back.select("shard", F.col("x.part").alias("used"), F.col("x.ranks").alias("ranks"))
+    return local.drop("blocks").join(back, "shard", "left"), before
+
+
+def _global_columns(own, used, ranks, before: dict[int, int]) -> np.ndarray:
+    """A shard's word numbers as numbers of the whole table."""
+    if own is None or not len(own):
+        return np.empty(0, np.int64)
+    return np.concatenate([np.frombuffer(r, dtype="<i4").astype(np.int64) + before[p] for p, r in zip(used, ranks)])[np.asarray(own)]
+
+
+def document_term_shards(docs: DataFrame) -> DataFrame:
+    """CSR shards of the document-term matrix: ``META`` and ``indices array<bigint>``, columns numbered over the whole table."""
+    shards, before = _coded_shards(docs)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def global_columns(indices: pd.Series, used: pd.Series, ranks: pd.Series) -> pd.Series:
-        def shard(own, used, ranks):
-            if own is None or not len(own):
-                return np.empty(0, np.int64)
-            return np.concatenate([np.frombuffer(r, dtype="<i4").astype(np.int64) + before[p] for p, r in zip(used, ranks)])[np.asarray(own)]
+        return pd.Series([_global_columns(*x, before) for x in zip(indices, used, ranks)])
 
-        return pd.Series([shard(*x) for x in zip(indices, used, ranks)])
+    return shards.select(*[c.split()[0] for c in META.split(", ")], global_columns("indices", "used", "ranks").alias("indices"))
 
-    back = numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("part", "ranks"))).alias("x"))
-    back = back.select("shard", F.col("x.part").alias("used"), F.col("x.ranks").alias("ranks"))
-    both = local.drop("blocks").join(back, "shard", "left")
-    return both.select(*[c.split()[0] for c in META.split(", ")], global_columns("indices", "used", "ranks").alias("indices"))
 
+def _row_totals(ptr, columns: np.ndarray, values) -> list[dict]:
+    """Per row of a shard the sum of its entries and its number of different global columns (below 2^44; a shard has fewer than 2^19 rows)."""
+    ptr = np.asarray(ptr, dtype=np.int64)
+    total = np.concatenate([[0], np.cumsum(np.asarray(values, dtype=np.int64))])
+    cells = np.sort(np.repeat(np.arange(len(ptr) - 1) << 44, np.diff(ptr)) | columns)
+    first = np.ones(len(cells), dtype=bool)
+    first[1:] = np.diff(cells) != 0
+    nonzero = np.bincount(cells[first] >> 44, minlength=len(ptr) - 1)
+    return [{"words": int(w), "distinct": int(d)} for w, d in zip(np.diff(total[ptr]), nonzero)]
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("words", T.LongType()), T.StructField("distinct", T.LongType())])))
-def _row_totals(indptr, indices, counts):
-    """Per row the sum of its entries and its number of different global columns (below 2^44; a shard has fewer than 2^19 rows)."""
-    def shard(ptr, columns, values):
-        ptr = np.asarray(ptr, dtype=np.int64)
-        total = np.concatenate([[0], np.cumsum(np.asarray(values, dtype=np.int64))])
-        cells = np.sort(np.repeat(np.arange(len(ptr) - 1) << 44, np.diff(ptr)) | np.asarray(columns, dtype=np.int64))
-        first = np.ones(len(cells), dtype=bool)
-        first[1:] = np.diff(cells) != 0
-        nonzero = np.bincount(cells[first] >> 44, minlength=len(ptr) - 1)
-        return [{"words": int(w), "distinct": int(d)} for w, d in zip(np.diff(total[ptr]), nonzero)]
 
-    return pd.Series([shard(*x) for x in zip(indptr, indices, counts)])
+def document_flags(docs: DataFrame, min_words: int = 200, min_distinct: int = 50, max_upper: int = 2) -> DataFrame:
+    """``(doc_id, part, digest, words, distinct, a, b, c, d)`` of every row, A and B from its row of the matrix.
+
+    A shard's global columns are made and summed in the same Python process, so they do not travel and a task needs one.
+    """
+    shards, before = _coded_shards(docs)
 
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("words", T.LongType()), T.StructField("distinct", T.LongType())])))
+    def totals(indptr: pd.Series, counts: pd.Series, indices: pd.Series, used: pd.Series, ranks: pd.Series) -> pd.Series:
+        return pd.Series([_row_totals(p, _global_columns(*x, before), c) for p, c, *x in zip(indptr, counts, indices, used, ranks)])
 
-def document_flags(docs: DataFrame, min_words: int = 200, min_distinct: int = 50, max_upper: int = 2) -> DataFrame:
-    """``(doc_id, part, digest, words, distinct, a, b, c, d)`` of every row, A and B from its row of the matrix."""
-    shards = document_term_shards(docs).withColumn("m", _row_totals("indptr", "indices", "counts"))
     cells = F.explode(F.arrays_zip("doc_id", "part", "digest", "c", "d", "m")).alias("r")
-    r = shards.select(cells).select("r.doc_id", "r.part", "r.digest", "r.m.words", "r.m.distinct", "r.c", "r.d")
+    r = shards.withColumn("m", totals("indptr", "counts", "indices", "used", "ranks")).select(cells)
+    r = r.select("r.doc_id", "r.part", "r.digest", "r.m.words", "r.m.distinct", "r.c", "r.d")
     with with_conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(SHARDS_AT_ONCE)):
         r = written(r, "audit-rows")
     return r.select("doc_id", "part", "digest", "words", "distinct", (F.col("words") < min_words).alias("a"),

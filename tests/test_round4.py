@@ -5,11 +5,13 @@ import io
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from corpuskit.functions import hashing as H
 from corpuskit.functions import span_arrays as A
 from corpuskit.functions import text as T
+from corpuskit.llm import filter_audit
 from corpuskit.operators import masking as M
 from corpuskit.operators import packing as E
 from corpuskit.operators import tokens as K
@@ -91,3 +93,16 @@ def test_words_of_ids_are_looked_up_in_place(spark, monkeypatch):
     for most in (0, 3, 40):
         monkeypatch.setattr(K, "BROADCAST_VOCAB_ROWS", most)
         assert sorted(map(tuple, K.tokens_from_ids(tok, vocab, ["doc_id", "sent_pos"]).collect()), key=str) == want
+
+
+def test_shards_are_held_a_few_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} x x " * 20, "s") for i in range(60)], "doc_id long, text string, source string").coalesce(1)
+    made, real = {}, filter_audit.written
+    monkeypatch.setattr(filter_audit, "SHARD_BYTES", 400)
+    monkeypatch.setattr(filter_audit, "written", lambda df, name, **o: made.setdefault(name, (real(df, name, **o), plan(df)))[0])
+    flags = filter_audit.document_flags(docs)
+    assert sorted((r["words"], r["distinct"]) for r in flags.collect()) == [(60, 2)] * 60
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in made["csr-local"][0].inputFiles()]
+    sizes = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(sizes) > 12 and max(sizes) <= filter_audit.SHARDS_AT_ONCE
+    assert made["audit-rows"][1].count("ArrowEvalPython") == 1  # one Python process per task
