@@ -2,6 +2,8 @@
 
 import contextlib
 import io
+import random
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions import hashing as H
 from corpuskit.functions import span_arrays as A
 from corpuskit.functions import text as T
-from corpuskit.llm import filter_audit
+from corpuskit.llm import filter_audit, jaccard
 from corpuskit.operators import masking as M
 from corpuskit.operators import packing as E
 from corpuskit.operators import tokens as K
@@ -106,3 +108,32 @@ def test_shards_are_held_a_few_at_a_time(spark, monkeypatch):
     sizes = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
     assert sum(sizes) > 12 and max(sizes) <= filter_audit.SHARDS_AT_ONCE
     assert made["audit-rows"][1].count("ArrowEvalPython") == 1  # one Python process per task
+
+
+def test_entries_are_crossed_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "LARGE", 30)
+    rng, t = random.Random(5), Fraction(3, 4)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (12, 25, 60, 200)]
+    texts = [" ".join(w if rng.random() > 0.02 else f"x{rng.randrange(10**6)}" for w in b) for b in base for _ in range(8)] + ["one two three"]
+    owner, h = jaccard.shingle_sets(texts, 5)
+    n, ids, _ = jaccard.set_ids(owner, h, len(texts))
+    bits, fine = jaccard.set_bits(owner, h, len(texts)), jaccard.fine_counts(owner, h, len(texts))
+    at = {}
+    for e in range(6):  # entries of 1 to 27 records, the same ones in several entries
+        for k in rng.sample(range(len(texts)), [1, 2, 5, 9, 20, 27][e]):
+            at.setdefault(int(ids[k]), (k, set()))[1].add(e)
+    rows = [(e, len([1 for _, own in at.values() if e in own]), s, k, s % 3 if k % 2 else s, int(n[k]), [int(b) for b in bits[k]], bytearray(fine[k]) if n[k] > 30 else None) for s, (k, es) in at.items() for e in es]
+    df = spark.createDataFrame(rows, "entry long, size long, sid long, code long, component long, n long, bits array<long>, fine binary").repartition(5)
+    made = jaccard._crossed(df, t)
+    assert "Join" not in plan(made)
+    got = [tuple(r) for r in made.collect()]
+    sets = {int(ids[k]): set(h[owner == k].tolist()) for k in range(len(texts))}
+    part = {r[2]: r[4] for r in rows}
+    met = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and part[a[2]] < part[b[2]]}
+    similar = {(a, b) for a, b in met if t <= Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b]))}
+    pairs = {(a, b) for a, b, *_ in got}
+    assert len(got) == len(pairs) and similar <= pairs <= met and 5 < len(similar) < len(met)
+    assert all((p, q) == tuple(sorted((at[a][0], at[b][0]))) for a, b, p, q in got)
+    most = {len(sets[a] ^ sets[b]) * 7 <= len(sets[a]) + len(sets[b]) for a, b in similar}
+    assert most == {True} and len(pairs) < len(met)
